@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,21 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_slices(ids, texts, most: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
+    """Arrow columns (ids, texts) as lists, texts in UTF-8, about ``most`` bytes of text at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = texts.cast(pa.binary())
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(at, at[start] + most)))
+        end = min(end, len(texts))
+        yield ids.slice(start, end - start).to_pylist(), texts.slice(start, end - start).to_pylist()
+        start = end
+
+
 def open_write(uri: str):
     """An output stream on any store that pyarrow knows; ``uri`` has a scheme or is an absolute path."""
     from pyarrow import fs

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokenids import PieceEncoder, crc, slices
+from .tokenids import PieceEncoder, crc
 
 
 class BestFit:
@@ -76,10 +76,9 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id:
     def tokens(batches):
         base, packer, enc, waiting = common.task_row_base(), BestFit(capacity, open_bins), None, []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for ids, texts in common.text_slices(batch.column(0), batch.column(1)):
                 enc = enc or encoder()
-                for doc, got in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
+                for doc, got in zip(ids, enc.encode(texts), strict=True):
                     got = np.append(got, np.uint32(end_id)).astype("<u4")
                     for k, at in enumerate(range(0, len(got), capacity)):
                         part = got[at : at + capacity]
@@ -143,4 +142,4 @@ def pack_query(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return pack_documents(docs, lambda: PieceEncoder(path, words=True))
+    return pack_documents(docs, lambda: PieceEncoder.shared(path, words=True))

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,74 +30,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .wordhash import range_hashes
 
 MAGIC = b"BPLANES1"
 _DOUBLE_BLANK = re.compile(r"\s\s")
+_WIDE_BLANKS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
 
 class PieceEncoder:
-    """ids of whole texts by a tokenizer file; ``limit`` distinct pieces are remembered, then the memory starts anew.
+    """ids of whole texts by a tokenizer file, those of ``encode(text, add_special_tokens=False)``.
 
-    ``words``: the pre-tokenizer drops white space (a word vocabulary); else a blank belongs to the word behind it
-    (byte-level vocabularies). Ids are those of ``encode(text, add_special_tokens=False)``.
+    A piece is a line feed, or a run of other bytes up to the next blank or line feed, with the blank before it.
+    ``words``: the pre-tokenizer drops white space (a word vocabulary), so pieces never touch each other; else (byte-level
+    vocabularies) that holds only where no two white-space characters follow each other, and other texts are encoded
+    whole. Pieces are looked up by hash in a table of ``2**slots`` places, where a new one replaces what was there.
     """
 
-    def __init__(self, path: str, words: bool, limit: int = 300_000):
+    def __init__(self, path: str, words: bool, slots: int = 21, pool: int = 16_000_000, longest: int = 4_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.limit, self.known = Tokenizer.from_file(path), words, limit, {}
-        self.newline = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in out]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if self.words:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        if _DOUBLE_BLANK.search(text):
-            return None
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            head, *rest = line.split(" ")
-            if head:
-                out.append(head)
-            out += [" " + p for p in rest]
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._pieces(t) for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = list({p for c in cut if c is not None for p in c if p not in known})
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self._encode([text])[0])
-            else:
-                ids: list[int] = []
-                for p in pieces:
-                    ids += known[p]
-                out.append(np.array(ids, dtype="<u4"))
-        return out
-
-
-def slices(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``most_chars`` characters, so that what is held at once stays bounded."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most_chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+        self.tokenizer, self.words, self.most, self.longest = Tokenizer.from_file(path), words, pool, longest
+        self.mask = np.uint64((1 << slots) - 1)
+        self.key, self.at, self.n = np.zeros(1 << slots, np.uint64), np.zeros(1 << slots, np.int64), np.zeros(1 << slots, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"), 0
+
+    @classmethod
+    def shared(cls, path: str, words: bool) -> PieceEncoder:
+        """The encoder of this Python process: what one task has encoded the next one knows."""
+        held = sys.__dict__.setdefault("_gridloom_encoders", {})
+        if (path, words) not in held:
+            held[path, words] = cls(path, words)
+        return held[path, words]
+
+    def _add(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(n.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), self.pool.dtype)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.pool.dtype, total)
+        at = self.used + np.cumsum(n) - n
+        self.used += total
+        return at, n
+
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _whole(self, docs: list[bytes]) -> list[int]:
+        """Places of the documents that can't be encoded piece by piece."""
+        found = {i for i, d in enumerate(docs) if len(d) > self.longest}
+        if not self.words:
+            blank = np.zeros(256, bool)
+            blank[[*range(9, 14), *range(28, 32), 32]] = True
+            blob = b"\xff".join(docs)
+            b = blank[np.frombuffer(blob, np.uint8)]
+            begin = np.cumsum([0, *(len(d) + 1 for d in docs)])
+            found |= set((np.searchsorted(begin, np.flatnonzero(b[1:] & b[:-1]), side="right") - 1).tolist())
+            if any(w in blob for w in _WIDE_BLANKS):
+                found |= {i for i, d in enumerate(docs) if any(w in d for w in _WIDE_BLANKS) and _DOUBLE_BLANK.search(d.decode())}
+        return sorted(found)
+
+    def encode(self, docs: list[bytes]) -> list[np.ndarray]:
+        """The ids of each document (UTF-8)."""
+        whole = self._whole(docs)
+        by_library = dict(zip(whole, self._library([docs[i] for i in whole]), strict=True)) if whole else {}
+        if self.used > self.most:
+            self.key[:], self.used = 0, 0
+        blob = b"\xff" + b"\xff".join(b"" if i in by_library else d for i, d in enumerate(docs))
+        data = np.frombuffer(blob, np.uint8)
+        cut = np.zeros(256, bool)
+        cut[[0x0A, 0xFF]] = True
+        after = cut[data]
+        cut[0x20] = True
+        new = cut[data]
+        new[1:] |= after[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(data))
+        real = data[starts] != 0xFF
+        doc_at = np.flatnonzero(~real)
+        keys = range_hashes(data, starts, ends)
+        keys[keys == 0] = 1
+        slot = (keys & self.mask).astype(np.int64)
+        at, n = self.at[slot], self.n[slot].astype(np.int64)
+        n[~real] = 0
+        missing = np.flatnonzero((self.key[slot] != keys) & real)
+        if len(missing):
+            _, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            lead = missing[first]
+            got_at, got_n = self._add(self._library([blob[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)]))
+            at[missing], n[missing] = got_at[back], got_n[back]
+            self.key[slot[lead]] = 0
+            self.at[slot[lead]], self.n[slot[lead]] = got_at, got_n
+            self.key[slot[lead]] = keys[lead]
+            # of pieces that share a place the last one written stays, in all three arrays alike
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])].astype("<u4")
+        bounds = total[np.append(doc_at, len(starts))].tolist()
+        return [np.array(by_library[i], "<u4") if i in by_library else ids[bounds[i] : bounds[i + 1]] for i in range(len(docs))]
 
 
 def pack_block(ids: np.ndarray, width: int) -> list[bytes]:
@@ -207,11 +237,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         encoder = writer = None
         path = f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.planes"
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                encoder = encoder or PieceEncoder(tokenizer, words=False)
+            for ids, texts in common.text_slices(batch.column(0), batch.column(1)):
+                encoder = encoder or PieceEncoder.shared(tokenizer, words=False)
                 writer = writer or PlaneWriter(path, width, block)
-                for doc, got in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                for doc, got in zip(ids, encoder.encode(texts), strict=True):
                     writer.add(doc, np.append(got, np.uint32(end_id)))
         if writer:
             writer.close()
