@@ -130,17 +130,20 @@ class PieceEncoder:
 
 def pack_block(ids: np.ndarray, width: int) -> list[bytes]:
     """The planes of a block, most significant byte and bit first: plane b has bit b of every id."""
-    bits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - width :], axis=1)
-    zip_ = zstandard.ZstdCompressor(level=1)
-    return [zip_.compress(plane.tobytes()) for plane in np.packbits(bits.T, axis=1)]
+    zip_, out = zstandard.ZstdCompressor(level=1), []
+    for byte in range(width - 1, -1, -1):
+        part = (ids >> np.uint32(8 * byte)).astype(np.uint8)
+        out += [zip_.compress(np.packbits(part & np.uint8(1 << bit))) for bit in range(7, -1, -1)]
+    return out
 
 
 def unpack_block(planes: list[bytes], n: int, width: int) -> np.ndarray:
     unzip, size = zstandard.ZstdDecompressor(), (n + 7) // 8
-    rows = np.frombuffer(b"".join(unzip.decompress(p, max_output_size=size) for p in planes), np.uint8).reshape(width * 8, size)
-    out = np.zeros((n, 4), np.uint8)
-    out[:, 4 - width :] = np.packbits(np.unpackbits(rows, axis=1, count=n).T, axis=1)
-    return out.view(">u4").ravel().astype("<u4")
+    out = np.zeros(n, "<u4")
+    for bit, plane in zip(range(8 * width - 1, -1, -1), planes, strict=True):
+        row = np.frombuffer(unzip.decompress(plane, max_output_size=size), np.uint8)
+        out |= np.unpackbits(row, count=n).astype("<u4") << np.uint32(bit)
+    return out
 
 
 class PlaneWriter:
@@ -249,18 +252,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     return common.keep(rows.mapInArrow(write, "part int, path string, docs long, ids long"), "manifest")
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """One row per document, read back from the files: doc_id, start (ids before it in the whole order), n_tokens, ids (binary).
+def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """One row per document, read back from the files: doc_id, start (ids before it in the whole order), n_tokens, ids_crc32, ids (binary).
 
     The driver adds up the files' counts: one small row per file, as many as there are partitions.
     """
     spark = manifest.sparkSession
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     files, start = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):
         files.append((r["path"], start))
         start += r["ids"]
     if not files:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+        return spark.createDataFrame([], schema)
     listed = spark.createDataFrame(files, "path string, start long").repartition(len(files), "path")
 
     def read(batches):
@@ -268,7 +272,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, held = [], 0
                 for doc, ids in PlaneReader(path):
-                    rows.append((doc, at, len(ids), ids.tobytes()))
+                    rows.append((doc, at, len(ids), crc(ids), *([ids.tobytes()] if with_ids else [])))
                     at += len(ids)
                     held += len(ids)
                     if held > 1_000_000:
@@ -278,10 +282,12 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     yield _rows(rows)
 
     def _rows(rows):
-        doc, at, n, ids = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+        columns = list(zip(*rows, strict=True))
+        types = [*[pa.int64()] * 4, *[pa.binary()] * with_ids]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+    return listed.mapInArrow(read, schema)
 
 
 def op5_token_planes(spark, sf_dir: str) -> DataFrame:
@@ -290,4 +296,4 @@ def op5_token_planes(spark, sf_dir: str) -> DataFrame:
 
     docs = common.table(spark, sf_dir, "documents")
     manifest = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), common.scratch(spark, "planes"))
-    return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(manifest, with_ids=False)
