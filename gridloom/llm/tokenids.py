@@ -46,12 +46,12 @@ class PieceEncoder:
     whole. Pieces are looked up by hash in a table of ``2**slots`` places, where a new one replaces what was there.
     """
 
-    def __init__(self, path: str, words: bool, slots: int = 21, pool: int = 16_000_000, longest: int = 4_000_000):
+    def __init__(self, path: str, words: bool, slots: int = 22, pool: int = 16_000_000, longest: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.most, self.longest = Tokenizer.from_file(path), words, pool, longest
         self.mask = np.uint64((1 << slots) - 1)
-        self.key, self.at, self.n = np.zeros(1 << slots, np.uint64), np.zeros(1 << slots, np.int64), np.zeros(1 << slots, np.int32)
+        self.key, self.at, self.n = (np.zeros(1 << slots, t) for t in (np.uint64, np.int32, np.uint16))
         self.pool, self.used = np.zeros(1 << 16, "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"), 0
 
     @classmethod
@@ -110,7 +110,7 @@ class PieceEncoder:
         keys = range_hashes(data, starts, ends)
         keys[keys == 0] = 1
         slot = (keys & self.mask).astype(np.int64)
-        at, n = self.at[slot], self.n[slot].astype(np.int64)
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
         n[~real] = 0
         missing = np.flatnonzero((self.key[slot] != keys) & real)
         if len(missing):
@@ -118,9 +118,9 @@ class PieceEncoder:
             lead = missing[first]
             got_at, got_n = self._add(self._library([blob[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)]))
             at[missing], n[missing] = got_at[back], got_n[back]
-            self.key[slot[lead]] = 0
-            self.at[slot[lead]], self.n[slot[lead]] = got_at, got_n
-            self.key[slot[lead]] = keys[lead]
+            short = got_n < 1 << 16
+            lead, got_at, got_n = lead[short], got_at[short], got_n[short]
+            self.at[slot[lead]], self.n[slot[lead]], self.key[slot[lead]] = got_at, got_n, keys[lead]
             # of pieces that share a place the last one written stays, in all three arrays alike
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])].astype("<u4")
