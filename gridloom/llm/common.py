@@ -59,7 +59,7 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def text_slices(ids, texts, most: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def text_slices(ids, texts, most: int = 500_000) -> Iterator[tuple[list, list[bytes]]]:
     """Arrow columns (ids, texts) as lists, texts in UTF-8, about ``most`` bytes of text at a time."""
     import numpy as np
     import pyarrow as pa

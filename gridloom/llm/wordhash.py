@@ -20,7 +20,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "t" not in held:
         held["t"] = np.random.default_rng(_SEED).integers(1, 2**64, 256, dtype=np.uint64)
     if len(held.get("p", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for name, base in (("p", _B), ("q", pow(_B, -1, 2**64))):
             a = np.full(size, base, np.uint64)
             a[0] = 1
