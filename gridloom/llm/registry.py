@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, tokenids
+from . import exact_dedup, ngram_join, packing, tokenids
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_token_planes": tokenids.op5_token_planes,
+    "op9_radix_dedup": exact_dedup.op9_radix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": ngram_join.OP4_SQL,
+    "op9_radix_dedup": exact_dedup.OP9_SQL,
+}
