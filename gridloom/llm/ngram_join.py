@@ -8,7 +8,7 @@ Prefixes and groups. Two documents that link share a shingle among their first n
 same set are one class, classes with the same prefix and size one group, and only groups are posted under the
 shingles of their prefix.
 
-Candidates without squares. In a first round each group names one hub of a fitting size for each posting list, classes are
+Candidates without squares. In a first round each group takes one hub of a fitting size from its posting lists, classes are
 verified against their hubs and linked classes are contracted. A family of near copies, whatever its size, is then one
 component. In a second round posting lists give every pair of groups of *different* components that passes the size
 and position filters, group pairs are expanded to their classes and verified. So no link that joins two components is lost.
@@ -143,31 +143,52 @@ def _fitting(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
 
 
 def postings(signed: DataFrame, percent: int) -> DataFrame:
-    """token, gid, n, pos of tokens that more than one group has, and hub: a group of the list that might link."""
+    """token, gid, n, pos of tokens that more than one group has."""
     n = common.partitions(signed.sparkSession)
     groups = signed.filter("n > 0").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posted = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
 
     def live(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            x = _lists(batches)
+            for a in range(0, len(x["gid"]), 50_000):
+                b = slice(a, a + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["token"][b], x["gid"][b], x["n"][b].astype(np.int32), x["pos"][b].astype(np.int32))], ["token", "gid", "n", "pos"])
+
+    return posted.repartition(n, "token").mapInArrow(live, "token long, gid long, n int, pos int")
+
+
+def hubs(live: DataFrame, percent: int) -> DataFrame:
+    """gid, hub: the group of a fitting size that shares the most of its prefix with others, of those the lists name.
+
+    The text that copies were made from has no shingle of its own, so all of its prefix is shared: each list names its
+    group with the most shared postings, and where that is too long or too short the next smaller one.
+    """
+    n = common.partitions(live.sparkSession)
+    rated = live.join(live.groupBy("gid").agg(F.count("*").cast("int").alias("shared")), "gid").select("token", "gid", "n", "shared")
+
+    def name(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         x = _lists(batches)
         if not len(x["gid"]):
             return
-        lo, hi = _fitting({k: v.astype(np.int64) for k, v in x.items()}, percent)
-        # The smallest gid of the list where it fits, else the fitting group of the least size.
+        x = {k: v.astype(np.int64) for k, v in x.items()}
+        lo, hi = _fitting(x, percent)
+        here = np.arange(len(lo))
         start = np.flatnonzero(np.concatenate([[True], x["token"][1:] != x["token"][:-1]]))
-        spans = np.diff(np.append(start, len(x["gid"])))
-        least = np.repeat(np.minimum.reduceat(x["gid"], start), spans)
-        by = np.lexsort((x["gid"], x["token"]))
-        where = np.repeat(by[np.searchsorted(x["token"][by], x["token"][start])], spans)
-        hub = np.where((where >= lo) & (where < hi), least, x["gid"][lo])
-        for a in range(0, len(hub), 50_000):
-            b = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(v[b]) for v in (x["token"], x["gid"], x["n"].astype(np.int32), x["pos"].astype(np.int32), hub)], ["token", "gid", "n", "pos", "hub"])
+        list_ = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(lo))))
+        by = np.lexsort((x["gid"], -x["shared"], list_))
+        top = by[start][list_]
+        hub = np.where((top >= lo) & (top < hi), top, np.maximum(lo, here - 1))
+        u = np.unique(np.stack([x["gid"], x["shared"][hub], x["gid"][hub]], 1)[hub != here], axis=0)
+        for a in range(0, len(u), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 50_000, k]) for k in range(3)], ["gid", "shared", "hub"])
 
-    return posted.repartition(n, "token").mapInArrow(live, "token long, gid long, n int, pos int, hub long")
+    named = rated.repartition(n, "token").mapInArrow(name, "gid long, shared long, hub long")
+    return named.groupBy("gid").agg(F.max(F.struct("shared", "hub")).getField("hub").alias("hub"))
 
 
 def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -275,9 +296,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     # Round 1: every class against the first class of its group, every group's first class against its hub's.
     firsts = classes.groupBy("gid").agg(F.min("fp").alias("rep"))
     inside = classes.join(firsts, "gid").filter("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
-    hubs = live.filter("hub <> gid").groupBy("gid").agg(F.min("hub").alias("hub"))
     other = firsts.select(F.col("gid").alias("hub"), F.col("rep").alias("b"))
-    outside = hubs.join(firsts, "gid").join(other, "hub").select(F.col("rep").alias("a"), "b")
+    outside = hubs(live, percent).join(firsts, "gid").join(other, "hub").select(F.col("rep").alias("a"), "b")
     one = verified(inside.unionByName(outside), classes, rows, k, percent)
     labels = components(one, "a", "b")
 
