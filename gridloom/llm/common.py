@@ -80,7 +80,7 @@ def open_write(uri: str):
 
     where, path = fs.FileSystem.from_uri(_plain(uri))
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return where.open_output_stream(path)
+    return where.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str):
