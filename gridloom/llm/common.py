@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +59,24 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size, whatever the texts' lengths; a task's end gives free memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+    def run(batches):
+        yield from function(batches)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def text_slices(ids, texts, most: int = 500_000) -> Iterator[tuple[list, list[bytes]]]:
     """Arrow columns (ids, texts) as lists, texts in UTF-8, about ``most`` bytes of text at a time."""
     import numpy as np

@@ -207,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, recall: float = 0.99, agree: fl
                         cols = zip(*((ids[d], items.ids[x], k, a, b, len(items.words[x])) for d, x, k, a, b in found), strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 2, *[pa.int32()] * 4], strict=True)], ["doc_id", "item_id", "distance", "start_word", "end_word", "item_words"])
 
-        return rows.mapInArrow(run, schema)
+        return common.mapped(rows, run, schema)
 
     for r in wanted.toLocalIterator():
         part.append(r)

@@ -68,7 +68,7 @@ def large_prefixes(texts: DataFrame, text: str, share: int, first: int = 4, fact
         n *= factor
 
 
-def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32_000_000) -> DataFrame:
+def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16_000_000) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty. Of equal texts the row with the largest id stays; of several rows with that id just one
@@ -114,7 +114,7 @@ def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield from flush()
 
-    local = rows.mapInArrow(collapse, "row long, doc_id long, rep long, leaf binary, t binary, n long")
+    local = common.mapped(rows, collapse, "row long, doc_id long, rep long, leaf binary, t binary, n long")
     # Rows without a text only pass through: they are dealt out by their number.
     dealt = local.repartition(n, F.coalesce("leaf", F.col("row").cast("string").cast("binary"))).sortWithinPartitions("leaf")
 
@@ -148,7 +148,7 @@ def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if group:
             yield flush()
 
-    found = dealt.mapInArrow(split, "row long, doc_id long, rep long, keep_id long, keep_row long, n long, sha string")
+    found = common.mapped(dealt, split, "row long, doc_id long, rep long, keep_id long, keep_row long, n long, sha string")
     # A representative stands for at most what one task has read, so these windows are bounded.
     w = Window.partitionBy("rep")
     return found.select("doc_id", F.max("keep_id").over(w).alias("keep_id"), F.max("n").over(w).alias("group_size"), (F.max("keep_row").over(w) == F.col("row")).alias("kept"), F.max("sha").over(w).alias("text_sha256"))

@@ -42,7 +42,7 @@ def need(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def frequent_shingles(rows: DataFrame, k: int, most: int, chunk: int = 4_000_000) -> np.ndarray:
+def frequent_shingles(rows: DataFrame, k: int, most: int, chunk: int = 2_000_000) -> np.ndarray:
     """Hashes of the most frequent shingles, rarest first: at most ``most``, so the table that is sent out is bounded."""
 
     def count(batches):
@@ -66,7 +66,7 @@ def frequent_shingles(rows: DataFrame, k: int, most: int, chunk: int = 4_000_000
         if held:
             yield flush()
 
-    sums = common.keep(rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    sums = common.keep(common.mapped(rows, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     # The least count that keeps the table within its bound, from a histogram of counts in powers of sqrt(2).
     level = F.floor(2 * F.log2("n")).cast("int")
     left, least = most, None
@@ -120,7 +120,7 @@ def signatures(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
     def rank_of(rank, at):
         return rank[at]
 
-    return rows.mapInArrow(sign, "doc_id long, n long, fp binary, gid long, prefix array<long>")
+    return common.mapped(rows, sign, "doc_id long, n long, fp binary, gid long, prefix array<long>")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -156,7 +156,7 @@ def postings(signed: DataFrame, percent: int) -> DataFrame:
                 b = slice(a, a + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["token"][b], x["gid"][b], x["n"][b].astype(np.int32), x["pos"][b].astype(np.int32))], ["token", "gid", "n", "pos"])
 
-    return posted.repartition(n, "token").mapInArrow(live, "token long, gid long, n int, pos int")
+    return common.mapped(posted.repartition(n, "token"), live, "token long, gid long, n int, pos int")
 
 
 def hubs(live: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def hubs(live: DataFrame, percent: int) -> DataFrame:
         for a in range(0, len(u), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 50_000, k]) for k in range(3)], ["gid", "shared", "hub"])
 
-    named = rated.repartition(n, "token").mapInArrow(name, "gid long, shared long, hub long")
+    named = common.mapped(rated.repartition(n, "token"), name, "gid long, shared long, hub long")
     return named.groupBy("gid").agg(F.max(F.struct("shared", "hub")).getField("hub").alias("hub"))
 
 
@@ -219,23 +219,26 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 u = np.unique(np.stack([x["gid"][i], x["label"][i], x["gid"][j], x["label"][j]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(u[:, k]) for k in range(4)], ["g1", "l1", "g2", "l2"])
 
-    return entries.repartition(n, "token").mapInArrow(pairs, "g1 long, l1 long, g2 long, l2 long").distinct()
+    return common.mapped(entries.repartition(n, "token"), pairs, "g1 long, l1 long, g2 long, l2 long").distinct()
 
 
 def verified(pairs: DataFrame, sources: DataFrame, rows: DataFrame, k: int, percent: int, most: int = 500) -> DataFrame:
     """Those pairs (a, b) of class fingerprints whose sets link. sources: fp, doc_id of one document of each class.
 
-    Texts are fetched once for the documents that take part. They are dealt out by b; a b with many a's is copied to
+    The texts of the documents that take part move twice: to their pairs, then to the b's; a b with many a's is copied to
     several tasks, ``most`` a's each, and a task holds the set of one b and one a at a time.
     """
     spark = pairs.sparkSession
     n = common.partitions(spark)
     pairs = common.keep(pairs.select("a", "b").distinct(), "pairs")
-    taking = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = common.keep(sources.join(taking, "fp").select("fp", F.col("doc_id").alias("_id")), "wanted")
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
+    hubs = shares.select(F.col("b").alias("fp"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("a"))
+    spokes = pairs.join(shares, "b").select(F.col("a").alias("fp"), "b", F.pmod(F.xxhash64("a"), F.col("shares").cast("long")).cast("int").alias("share"), "a")
+    wanted = sources.select("fp", F.col("doc_id").alias("_id")).join(hubs.unionByName(spokes), "fp")
+    wanted = common.keep(wanted, "wanted")
     # Documents that surely aren't wanted are left out before the shuffle, by a bitset of fixed size; the join is exact.
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23)).cast("int")
-    at = wanted.select(F.pmod(F.xxhash64("_id"), F.lit(1 << 23)).cast("int").alias("b"))
+    at = wanted.select(F.pmod(F.xxhash64("_id"), F.lit(1 << 23)).cast("int").alias("b")).distinct()
     set_ = at.groupBy(F.shiftright("b", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, b & 7))").alias("v")).toArrow()
     bits = np.zeros(1 << 20, np.uint8)
     bits[set_["byte"].to_numpy()] = set_["v"].to_numpy()
@@ -247,13 +250,10 @@ def verified(pairs: DataFrame, sources: DataFrame, rows: DataFrame, k: int, perc
             on = (shared.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_doc", "text"]).filter(pa.array(on.astype(bool)))
 
-    texts = rows.select("doc_id", "text", spot.alias("spot")).mapInArrow(maybe, "_doc long, text string")
-    texts = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["_id"])).select("fp", "text")
-    texts = common.keep(texts, "texts")
-    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
-    hubs = shares.join(texts, F.col("b") == F.col("fp")).select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("a"), "fp", "text")
-    spokes = pairs.join(shares, "b").join(texts, F.col("a") == F.col("fp")).select("b", F.pmod(F.xxhash64("a"), F.col("shares").cast("long")).cast("int").alias("share"), "a", "fp", "text")
-    dealt = hubs.unionByName(spokes).repartition(n, "b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_first())
+    texts = common.mapped(rows.select("doc_id", "text", spot.alias("spot")), maybe, "_doc long, text string")
+    # Both sides grow with the corpus, so neither is ever broadcast.
+    sent = texts.join(wanted.hint("merge"), texts["_doc"].eqNullSafe(wanted["_id"])).select("b", "share", "a", "fp", "text")
+    dealt = sent.repartition(n, "b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_first())
 
     def compare(batches):
         now, own = None, None
@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, sources: DataFrame, rows: DataFrame, k: int, perc
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    return common.keep(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "linked")
+    return common.keep(common.mapped(dealt, compare, "a binary, b binary").distinct(), "linked")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,7 +98,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: str
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], ["doc_id", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
-    return texts.mapInArrow(score, "doc_id long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return common.mapped(texts, score, "doc_id long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def held_out() -> Column:

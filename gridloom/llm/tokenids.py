@@ -249,7 +249,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([ctx.partitionId()], pa.int32()), "path": [path], "docs": pa.array([len(writer.docs)], pa.int64()), "ids": pa.array([sum(writer.lengths)], pa.int64())})
 
-    return common.keep(rows.mapInArrow(write, "part int, path string, docs long, ids long"), "manifest")
+    return common.keep(common.mapped(rows, write, "part int, path string, docs long, ids long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -287,7 +287,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    return listed.mapInArrow(read, schema)
+    return common.mapped(listed, read, schema)
 
 
 def op5_token_planes(spark, sf_dir: str) -> DataFrame:

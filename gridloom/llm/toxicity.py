@@ -121,7 +121,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], mo
             words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *f])))
             yield pa.RecordBatch.from_arrays([batch.column(0), words, *batch.columns[2:]], ["doc_id", "words", *ys])
 
-    got = texts.select("doc_id", "text", *ys).mapInArrow(features, f"doc_id long, words array<int>, {', '.join(y + ' int' for y in ys)}").toArrow().sort_by("doc_id")
+    got = common.mapped(texts.select("doc_id", "text", *ys), features, f"doc_id long, words array<int>, {', '.join(y + ' int' for y in ys)}").toArrow().sort_by("doc_id")
     seen, rows = set(), []
     for r in zip(got["words"].to_pylist(), *(got[y].to_pylist() for y in ys), strict=True):
         key = (tuple(r[0]), r[1:])
@@ -160,7 +160,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, categories: dict[str, st
     from pyspark.sql import types as T
 
     schema = T.StructType([*given.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
-    out = rows.mapInArrow(score, schema).withColumn("rejected", F.col(names[-1]) >= cut)
+    out = common.mapped(rows, score, schema).withColumn("rejected", F.col(names[-1]) >= cut)
     return out.select(*(F.col(c).alias(d) for c, d in zip(own, docs.columns, strict=True)), F.col("rejected").alias("_rejected")) if carry else out
 
 

@@ -92,7 +92,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], vocabulary
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, strict_terms int, soft_terms int")
+    return common.mapped(rows, run, "page_id long, host string, path string, rule string, verdict string, strict_terms int, soft_terms int")
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]

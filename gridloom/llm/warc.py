@@ -89,7 +89,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, id_col: str = "
         if out is not None:
             out.close()
 
-    return common.keep(rows.mapInArrow(write, INDEX), "index")
+    return common.keep(common.mapped(rows, write, INDEX), "index")
 
 
 def ranges(spots: list[tuple[int, int]], gap: int, most: int) -> Iterator[list[int]]:
@@ -137,7 +137,7 @@ def read_warc(index: DataFrame, gap: int = 65_536, most: int = 8_000_000, with_p
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [f.split()[0] for f in schema.split(", ")])
                 first = i
 
-    return spots.mapInArrow(read, schema)
+    return common.mapped(spots, read, schema)
 
 
 def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
