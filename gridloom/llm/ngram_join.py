@@ -4,7 +4,8 @@ Order. Any order of shingles gives right results; rare ones first gives few cand
 each task counts all shingles that it reads and passes on those it has seen more than once; the ``frequent`` most
 frequent ones of the sums (a bounded table) go to the end of the order, all others stand before them by hash.
 
-Prefixes and groups. Two documents that link share a shingle among their first n - ceil(t n) + 1. Documents with the
+Prefixes and groups. Two documents that link share l = min(SHARED, ceil(t n)) shingles among their first
+n - ceil(t n) + l, so pairs that meet less often, as texts do by chance, are no candidates. Documents with the
 same set are one class, classes with the same prefix and size one group, and only groups are posted under the
 shingles of their prefix.
 
@@ -31,6 +32,8 @@ from .components import components
 from .wordhash import Words, mix
 
 _BITS = np.uint64((1 << 24) - 1)
+#: Shingles that the prefixes of linked documents must share, as far as they have so many.
+SHARED = 4
 
 
 def shingle_sets(docs: list[bytes], k: int) -> list[np.ndarray]:
@@ -100,7 +103,8 @@ def signatures(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
                     if not n:
                         fps.append(None), gids.append(None), prefixes.append(None)
                         continue
-                    p = n + (-percent * n // 100) + 1  # n - ceil(t n) + 1
+                    least = -(-percent * n // 100)
+                    p = n - least + min(SHARED, least)
                     maybe = np.flatnonzero(seen[(u & _BITS).astype(np.int64)])
                     at = np.searchsorted(table, u[maybe])
                     real = at < len(table)
@@ -127,7 +131,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     """A partition's postings, ordered by token and size, without the tokens that stand alone."""
     table = pa.Table.from_batches(list(batches))
     cols = {c: table[c].to_numpy() for c in table.column_names}
-    o = np.lexsort((cols["gid"], cols["n"], cols["token"]))
+    o = np.lexsort((*([cols["label"]] if "label" in cols else []), cols["gid"], cols["n"], cols["token"]))
     t = cols["token"][o]
     same = np.concatenate([[False], t[1:] == t[:-1], [False]])
     o = o[same[1:] | same[:-1]]
@@ -183,12 +187,14 @@ def hubs(live: DataFrame, percent: int) -> DataFrame:
         by = np.lexsort((x["gid"], -x["shared"], list_))
         top = by[start][list_]
         hub = np.where((top >= lo) & (top < hi), top, np.maximum(lo, here - 1))
-        u = np.unique(np.stack([x["gid"], x["shared"][hub], x["gid"][hub]], 1)[hub != here], axis=0)
+        u, votes = np.unique(np.stack([x["gid"], x["n"], x["shared"][hub], x["gid"][hub]], 1)[hub != here], axis=0, return_counts=True)
         for a in range(0, len(u), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(u[a : a + 50_000, k]) for k in range(3)], ["gid", "shared", "hub"])
+            b = slice(a, a + 50_000)
+            yield pa.RecordBatch.from_arrays([*(pa.array(u[b, k]) for k in range(4)), pa.array(votes[b])], ["gid", "n", "shared", "hub", "votes"])
 
-    named = common.mapped(rated.repartition(n, "token"), name, "gid long, shared long, hub long")
-    return named.groupBy("gid").agg(F.max(F.struct("shared", "hub")).getField("hub").alias("hub"))
+    named = common.mapped(rated.repartition(n, "token"), name, "gid long, n long, shared long, hub long, votes long")
+    named = named.groupBy("gid", "n", "shared", "hub").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)))
+    return named.groupBy("gid").agg(F.max(F.struct("shared", "votes", "hub")).getField("hub").alias("hub"))
 
 
 def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -212,14 +218,20 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
             c = count[a]
             i = np.repeat(a, c)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            bound = 1 + np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j]) - 1
+            # Holds for the first SHARED common tokens of a pair that links.
+            bound = SHARED - 1 + np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j])
             good = (x["label"][i] != x["label"][j]) & (bound * (100 + percent) >= percent * (x["n"][i] + x["n"][j]))
             i, j = i[good], j[good]
             if len(i):
-                u = np.unique(np.stack([x["gid"][i], x["label"][i], x["gid"][j], x["label"][j]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(u[:, k]) for k in range(4)], ["g1", "l1", "g2", "l2"])
+                enough = np.minimum(SHARED, -(-percent * np.minimum(x["n"][i], x["n"][j]) // 100))
+                u, which = np.unique(np.stack([x["gid"][i], x["label"][i], x["gid"][j], x["label"][j], enough], 1), axis=0, return_inverse=True)
+                met = np.bincount(which.ravel(), weights=x["weight"][i]).astype(np.int64)
+                for b in range(0, len(u), 50_000):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(u[b : b + 50_000, k]) for k in range(5)), pa.array(met[b : b + 50_000])], ["g1", "l1", "g2", "l2", "enough", "met"])
 
-    return common.mapped(entries.repartition(n, "token"), pairs, "g1 long, l1 long, g2 long, l2 long").distinct()
+    found = common.mapped(entries.repartition(n, "token"), pairs, "g1 long, l1 long, g2 long, l2 long, enough long, met long")
+    # A pair of sizes n, m can come in either order of its groups only if n = m and then always by gid.
+    return found.groupBy("g1", "l1", "g2", "l2").agg(F.sum("met").alias("met"), F.max("enough").alias("enough")).filter("met >= enough").select("g1", "l1", "g2", "l2")
 
 
 def verified(pairs: DataFrame, sources: DataFrame, rows: DataFrame, k: int, percent: int, most: int = 500) -> DataFrame:
@@ -305,9 +317,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     named = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "n", "gid", F.xxhash64(F.coalesce("label", "fp")).alias("label"))
     named = common.keep(named, "named")
     sets = named.groupBy("gid", "label").agg(F.first("n").alias("n"))
-    entries = live.select("token", "gid", "pos").join(sets, "gid").select("token", "gid", "label", "n", "pos")
+    entries = live.select("token", "gid", "pos").join(sets, "gid").select("token", "gid", "label", "n", "pos", F.lit(1).alias("weight"))
     split = sets.join(sets.groupBy("gid").count().filter("count > 1").select("gid"), "gid")
-    entries = entries.unionByName(split.select(F.col("gid").alias("token"), "gid", "label", "n", F.lit(0).alias("pos")))
+    entries = entries.unionByName(split.select(F.col("gid").alias("token"), "gid", "label", "n", F.lit(0).alias("pos"), F.lit(SHARED).alias("weight")))
     met = common.keep(cross_pairs(entries, percent), "met")
     left = named.select(F.col("gid").alias("g1"), F.col("label").alias("l1"), F.col("fp").alias("a"))
     right = named.select(F.col("gid").alias("g2"), F.col("label").alias("l2"), F.col("fp").alias("b"))
