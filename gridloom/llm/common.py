@@ -59,12 +59,19 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """df.mapInArrow in batches of bounded size, whatever the texts' lengths; a task's end gives free memory back."""
+def mapped(df: DataFrame, function: Callable, schema, encodes: bool = False) -> DataFrame:
+    """df.mapInArrow in batches of bounded size, whatever the texts' lengths; a task's end gives free memory back.
+
+    What tokenizers have remembered in a Python process stays only from one task that ``encodes`` to the next.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
     def run(batches):
+        import sys
+
+        if not encodes:
+            sys.__dict__.pop("_gridloom_encoders", None)
         yield from function(batches)
         import ctypes
 

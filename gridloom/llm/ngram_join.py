@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -218,8 +218,9 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
             c = count[a]
             i = np.repeat(a, c)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-            # Holds for the first SHARED common tokens of a pair that links.
-            bound = SHARED - 1 + np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j])
+            # Common tokens before this one are posted ones of both; holds for the first SHARED ones of a pair that links.
+            before = np.minimum(SHARED - 1, np.minimum(x["before"][i], x["before"][j]))
+            bound = before + np.minimum(x["n"][i] - x["pos"][i], x["n"][j] - x["pos"][j])
             good = (x["label"][i] != x["label"][j]) & (bound * (100 + percent) >= percent * (x["n"][i] + x["n"][j]))
             i, j = i[good], j[good]
             if len(i):
@@ -317,9 +318,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     named = classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "n", "gid", F.xxhash64(F.coalesce("label", "fp")).alias("label"))
     named = common.keep(named, "named")
     sets = named.groupBy("gid", "label").agg(F.first("n").alias("n"))
-    entries = live.select("token", "gid", "pos").join(sets, "gid").select("token", "gid", "label", "n", "pos", F.lit(1).alias("weight"))
+    placed = live.select("token", "gid", "pos", (F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1).alias("before"))
+    entries = placed.join(sets, "gid").select("token", "gid", "label", "n", "pos", "before", F.lit(1).alias("weight"))
     split = sets.join(sets.groupBy("gid").count().filter("count > 1").select("gid"), "gid")
-    entries = entries.unionByName(split.select(F.col("gid").alias("token"), "gid", "label", "n", F.lit(0).alias("pos"), F.lit(SHARED).alias("weight")))
+    entries = entries.unionByName(split.select(F.col("gid").alias("token"), "gid", "label", "n", F.lit(0).alias("pos"), F.lit(0).alias("before"), F.lit(SHARED).alias("weight")))
     met = common.keep(cross_pairs(entries, percent), "met")
     left = named.select(F.col("gid").alias("g1"), F.col("label").alias("l1"), F.col("fp").alias("a"))
     right = named.select(F.col("gid").alias("g2"), F.col("label").alias("l2"), F.col("fp").alias("b"))

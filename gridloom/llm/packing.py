@@ -100,7 +100,7 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id:
             types = [pa.int64(), pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema.names)
 
-    pieces = common.keep(common.mapped(rows, tokens, schema), "pieces")
+    pieces = common.keep(common.mapped(rows, tokens, schema, encodes=True), "pieces")
     open_ = pieces.filter("free > 0").select("bin", "free").distinct()
     moved = _merge(_merge(open_.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"), "free"), 64, capacity, open_bins), None, capacity, open_bins)
     moved = moved.select(F.col("bin").alias("_bin"), "root", "shift")

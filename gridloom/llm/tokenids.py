@@ -249,7 +249,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([ctx.partitionId()], pa.int32()), "path": [path], "docs": pa.array([len(writer.docs)], pa.int64()), "ids": pa.array([sum(writer.lengths)], pa.int64())})
 
-    return common.keep(common.mapped(rows, write, "part int, path string, docs long, ids long"), "manifest")
+    return common.keep(common.mapped(rows, write, "part int, path string, docs long, ids long", encodes=True), "manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
