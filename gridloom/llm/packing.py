@@ -138,8 +138,9 @@ def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return pack_query(common.table(spark, sf_dir, "documents"))
 
 
-def pack_query(docs: DataFrame) -> DataFrame:
+def pack_query(docs: DataFrame, slots: int = 22) -> DataFrame:
+    """``slots``: size of the table of known pieces, as a power of two."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return pack_documents(docs, lambda: PieceEncoder.shared(path, words=True))
+    return pack_documents(docs, lambda: PieceEncoder.shared(path, words=True, slots=slots))

@@ -55,12 +55,12 @@ class PieceEncoder:
         self.pool, self.used = np.zeros(1 << 16, "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"), 0
 
     @classmethod
-    def shared(cls, path: str, words: bool) -> PieceEncoder:
+    def shared(cls, path: str, words: bool, slots: int = 22) -> PieceEncoder:
         """The encoder of this Python process: what one task has encoded the next one knows."""
         held = sys.__dict__.setdefault("_gridloom_encoders", {})
-        if (path, words) not in held:
-            held[path, words] = cls(path, words)
-        return held[path, words]
+        if (path, words, slots) not in held:
+            held[path, words, slots] = cls(path, words, slots, pool=4 << slots)
+        return held[path, words, slots]
 
     def _add(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         n = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -1,0 +1,149 @@
+"""Brute force, round trips, nulls, empty and repeated rows, extra columns."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import common, decontam, exact_dedup, ngram_join, packing, quality, secret_scan, tokenids, toxicity, url_filter, warc
+
+DOCS = "doc_id long, text string, fp string, rep string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS)
+
+
+ODD = [(1, None), (2, ""), (2, ""), (None, "a b"), (3, "a b"), (4, "x" * 50_000), (5, "á  b\n\nc   d"), (6, "<|endoftext|> it's 12 a")]
+
+
+def test_equal_texts(spark):
+    got = exact_dedup.equal_texts(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD) and sum(r.kept for r in got) == 5
+    empty = [r for r in got if r.doc_id in (1, 2)]
+    assert {(r.keep_id, r.group_size) for r in empty} == {(2, 3)} and sum(r.kept for r in empty) == 1
+    assert exact_dedup.equal_texts(docs(spark, [])).count() == 0
+
+
+def test_radix_groups():
+    texts = [random.Random(i % 7).randbytes(i % 3 * 9) for i in range(60)]
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(t, []).append(i)
+    assert sorted(map(sorted, exact_dedup.radix_groups(texts))) == sorted(want.values())
+
+
+def brute(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    return {(r[0], len(s), rows[label[i]][0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))}
+
+
+def test_jaccard_components(spark):
+    rng, rows = random.Random(3), [(0, None), (1, ""), (2, "one two"), (3, "ONE two"), (4, " \t")]
+    for f in range(6):
+        base = [f"w{rng.randrange(40)}" for _ in range(60)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(60)] = f"n{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(w)))
+    got = ngram_join.jaccard_components(docs(spark, rows), k=3, percent=80, frequent=64)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 3, 80)
+    assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name,words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_pieces_give_the_librarys_ids(name, words):
+    P = pytest.importorskip("public_tokenizers")
+    e = tokenids.PieceEncoder(P.path(name), words, slots=4)
+    texts = [t or "" for _, t in ODD] + ["a\nb c", " lead", "trail ", "\n", "don't  stop", "ÄB ñ, “q” — x"]
+    assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    m = tokenids.write_token_files(docs(spark, ODD), P.path("byte_bpe_50k.json"), f"file://{tmp_path}/x", block=64)
+    got = sorted(tokenids.read_token_files(m).collect(), key=lambda r: r.start)
+    want = sorted((np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for _, x in ODD))
+    assert sorted(bytes(r.ids) for r in got) == want and all(r.ids_crc32 == zlib.crc32(r.ids) for r in got)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+
+
+def test_packing(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rows = [*ODD, (9, "word " * 900)]
+    got = packing.pack_documents(docs(spark, rows), lambda: tokenids.PieceEncoder(P.path("word_bpe_49k.json"), True, slots=6), capacity=128, open_bins=4).toPandas()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *(g.offset + g.length).tolist()[:-1]] and g.length.sum() <= 128
+    assert (got[got.doc_id == 9].sort_values("piece").length.tolist()) == [128] * 7 + [5]
+
+
+def test_leaks(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    near = item.replace("q4 ", "").replace("q9", "zz")
+    rows = [(1, None), (2, ""), (3, "x y " * 30 + item.upper() + "! z"), (4, "a " * 9 + near + " b"), (5, "a b c d e " * 20)]
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "a b")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs(spark, rows), bench).collect()}
+    assert got == {(3, 7, 0), (4, 7, 2)}
+    assert decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_best_range():
+    w = np.array([5, 1, 2, 9, 3, 4, 5], np.uint64)
+    assert decontam.best_range(np.array([1, 2, 3, 4], np.uint64), w) == (1, 1, 6)
+
+
+def test_urls(spark):
+    rows = [(1, None), (2, "no host"), (3, "HTTP://A.Example.COM/en/7?x"), (4, "http://casino.example.org/"), (5, "http://x.org/free-win"), (6, "http://x.org/freedom-wins"), (7, "http://notcom/en/")]
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), url_filter.RULES).collect()}
+    assert got == {1: ("", None, "allow"), 2: ("", None, "allow"), 3: ("a.example.com", "example.com/en/7", "allow"), 4: ("casino.example.org", None, "block"), 5: ("x.org", None, "block"), 6: ("x.org", None, "allow"), 7: ("notcom", None, "allow")}
+
+
+def test_warc(spark, tmp_path):
+    big = "é" * 600
+    rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", "small"), (5, "u", "small"), (None, "u", big)]
+    index = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, bytes(r.payload).decode()) for r in warc.read_warc(index).collect()}
+    assert got[1] == ("revisit", 2, 1200, "") and got[2] == ("response", None, 1200, big) and got[3] == ("response", None, 0, "") and got[4][0] == got[5][0] == "response" and got[None][:2] == ("revisit", 2)
+
+
+def test_quality_and_toxicity(spark):
+    rng = random.Random(1)
+    good = lambda: " ".join(rng.choice(["the", "river", "went", "down", "hill", "and", "stone", f"u{rng.randrange(400)}"]) for _ in range(60))
+    rows = [(i, good() if i % 2 else good().upper().replace(" ", "!! ")) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    rows = [(i, t + (" you moron" if i % 5 == 0 else "")) for i, t in rows] + [(None, None), (999, "")]
+    q = quality.quality_scores(docs(spark, rows), labels, F.col("doc_id") < 120).toPandas()
+    assert len(q) == 242 and q.score.between(0, 1).all()
+    late = q[(q.doc_id >= 120) & (q.doc_id < 240)]
+    assert (late.predicted == late.doc_id % 2).mean() > 0.95
+    t = toxicity.toxicity_scores(docs(spark, rows), labels).toPandas()
+    known = t[t.doc_id < 240]
+    assert len(t) == 242 and (known.rejected == (known.doc_id % 5 == 0)).mean() > 0.95
+    assert toxicity.toxicity_scores(docs(spark, rows), labels.limit(0)).filter("rejected").count() == 0
+
+
+def test_secrets(spark):
+    key = "9f8a6b5c4d3e2f1a0b9c8d7e6f5a4b3c2d1e0f9a"
+    rows = [(1, None), (2, ""), (3, f'set token = "{key}" there and token = "xxxxxxxxxxxxxxxx"'), (4, "see commit " + key)]
+    got = secret_scan.secrets(docs(spark, rows), path_col=None).collect()
+    assert [(r.doc_id, r.value, r.secret) for r in sorted(got, key=lambda r: r.start)] == [(3, key, True), (3, "x" * 16, False)]
+    assert all(rows[2][1][r.start :].startswith(r.value) for r in got)
+
+
+def test_shared_folder(spark):
+    assert common.keep(spark.range(3), "t").count() == 3
