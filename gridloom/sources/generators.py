@@ -93,10 +93,10 @@ def block_field(spark: SparkSession, rows: int, cols: int, block: int = 100) ->
     return made.withColumn("v", F.when((F.col("r") < block) & (F.col("c") < block), 1.0).otherwise(0.0))
 
 
-def hex_mesh(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, x, y, z) on [0, 1.125] and elements (elem, corner, node) of n**3 hexahedra, corners counter-clockwise."""
+def hex_mesh(spark: SparkSession, n: int, length: float = 1.125) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, x, y, z) on [0, length] and elements (elem, corner, node) of n**3 hexahedra, corners counter-clockwise."""
     m = n + 1
-    h = 1.125 / n
+    h = length / n
     nodes = spark.range(m**3).select(F.col("id").alias("node"), (F.col("id") % m * h).alias("x"), (F.expr(f"id div {m} % {m}") * h).alias("y"), (F.expr(f"id div {m * m}") * h).alias("z"))
     base = F.col("id") % n + F.expr(f"id div {n} % {n}") * m + F.expr(f"id div {n * n}") * m * m
     corners = [0, 1, m + 1, m, m * m, m * m + 1, m * m + m + 1, m * m + m]
