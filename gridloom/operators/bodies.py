@@ -34,9 +34,9 @@ def octree_leaves(bodies: DataFrame, low: float, size: float, levels: int = 16,
     located = bodies.select("id", octant_path(F.col("x"), F.col("y"), F.col("z"), low, size, levels).alias("path"))
     prefixes = located.select("path", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth")).select(F.expr("substring(path, 1, depth)").alias("cell"))
     light = prefixes.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("cell")
-    candidates = located.select("id", "path", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth")).select("id", "path", F.expr("substring(path, 1, depth)").alias("cell"))
-    found = candidates.join(light, "cell").groupBy("id").agg(F.min_by("cell", F.length("cell")).alias("leaf"))
-    return located.join(found, "id", "left").select("id", F.coalesce("leaf", "path").alias("leaf"))
+    candidates = located.select("path").distinct().select("path", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("depth")).select("path", F.expr("substring(path, 1, depth)").alias("cell"))
+    found = candidates.join(light, "cell").groupBy("path").agg(F.min_by("cell", F.length("cell")).alias("leaf"))
+    return located.join(found, "path", "left").select("id", F.coalesce("leaf", "path").alias("leaf"))
 
 
 def cell_masses(bodies: DataFrame, low: float, size: float, levels: int) -> DataFrame:

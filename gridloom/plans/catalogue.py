@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, graph, linalg, scan, stencil
+from ..operators import aggregate, bodies, dataflow, fields, graph, linalg, scan, stencil
 from .chain import chain
 
 N, QUERIES, SQL = 200, {}, {}
@@ -324,3 +324,96 @@ def stream_call_stats(spark, d):
     from ..streaming import stream_statistics
 
     return stream_statistics(spark, f"{d}/events.parquet", read(spark, d, "events").schema).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+def places(spark, d):
+    m = F.col("l_linenumber").cast("double")
+    return read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), m.alias("mass"), (F.col("l_partkey") % 64).cast("double").alias("x"), (F.col("l_suppkey") % 64).cast("double").alias("y"), F.col("l_quantity").alias("z"), (F.col("l_partkey") % 7).cast("double").alias("vx"), (F.col("l_orderkey") % 5).cast("double").alias("vy"), m.alias("vz"), F.col("l_quantity").alias("phi"))
+
+
+PLACES = "places AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_linenumber AS BIGINT) AS mass, l_partkey % 64 AS x, l_suppkey % 64 AS y, CAST(l_quantity AS BIGINT) AS z, l_partkey % 7 AS vx, l_orderkey % 5 AS vy, l_linenumber AS vz, CAST(l_quantity AS BIGINT) AS phi FROM lineitem)"
+PATHS = f"{PLACES}, paths AS (SELECT *, concat({', '.join(f'(x // {k} % 2) * 4 + (y // {k} % 2) * 2 + z // {k} % 2' for k in (32, 16, 8, 4, 2, 1))}) AS path FROM places), cells AS (SELECT *, t.range AS d, substr(path, 1, t.range) AS cell FROM paths, range({{n}}) t)"
+
+
+@query(f"WITH {PATHS.format(n=4)} SELECT cell, count(*) AS n, CAST(sum(mass) AS DOUBLE) AS mass, round(sum(mass * x) / sum(mass), 6) AS x, round(sum(mass * y) / sum(mass), 6) AS y, round(sum(mass * z) / sum(mass), 6) AS z FROM cells GROUP BY cell")
+def octree_masses(spark, d):
+    return bodies.cell_masses(places(spark, d), 0.0, 64.0, 3).select("cell", "n", "mass", *(F.round(a, 6).alias(a) for a in bodies.AXES))
+
+
+@query(f"WITH {PATHS.format(n=7)}, light AS (SELECT cell FROM cells GROUP BY cell HAVING count(*) <= 10), f AS (SELECT path, arg_min(cell, d) AS leaf FROM cells JOIN light USING (cell) GROUP BY path) SELECT coalesce(leaf, path) AS leaf, count(*) AS n FROM paths LEFT JOIN f USING (path) GROUP BY 1")
+def octree_leaves(spark, d):
+    return bodies.octree_leaves(places(spark, d), 0.0, 64.0, 6).groupBy("leaf").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PLACES} SELECT CAST(sum(mass) AS DOUBLE) AS mass, sum(mass * (vx * vx + vy * vy + vz * vz)) / 2 AS kinetic, sum(mass * phi) / 2 AS potential, round(sum(mass * x) / sum(mass), 6) AS mean_x, round(sum(mass * vz) / sum(mass), 6) AS mean_vz, CAST(sum(mass * (y * vz - z * vy)) AS DOUBLE) AS spin_x, CAST(sum(mass * (z * vx - x * vz)) AS DOUBLE) AS spin_y, CAST(sum(mass * (x * vy - y * vx)) AS DOUBLE) AS spin_z FROM places")
+def body_diagnostics(spark, d):
+    x = bodies.diagnostics(places(spark, d))
+    return x.select("mass", "kinetic", "potential", F.round("mean_x", 6).alias("mean_x"), F.round("mean_vz", 6).alias("mean_vz"), "spin_x", "spin_y", "spin_z")
+
+
+@query("WITH b AS (SELECT vec_id AS id, CAST(label % 5 + 1 AS DOUBLE) AS m, CAST(round(embedding[1] * 1000) AS BIGINT) / 100 AS x, CAST(round(embedding[2] * 1000) AS BIGINT) / 100 AS y, CAST(round(embedding[3] * 1000) AS BIGINT) / 100 AS z FROM embeddings WHERE vec_id < 40), p AS (SELECT a.id, b.m, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2) + 0.25 AS s FROM b a JOIN b ON a.id <> b.id) SELECT id, round(-sum(m / sqrt(s)), 5) AS phi, round(sum(m / sqrt(s) / s * x), 5) AS ax, round(sum(m / sqrt(s) / s * y), 5) AS ay, round(sum(m / sqrt(s) / s * z), 5) AS az FROM p GROUP BY id")
+def gravity_pairs(spark, d):
+    e = F.col("embedding")
+    b = read(spark, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("id"), (F.col("label") % 5 + 1).cast("double").alias("mass"), *((F.round(e[k].cast("double") * 1000).cast("long") / 100).alias(a) for k, a in enumerate(bodies.AXES)))
+    return bodies.gravity(b, 0.5).select("id", *(F.round(c, 5).alias(c) for c in ("phi", "ax", "ay", "az")))
+
+
+CUBE = "cube AS (SELECT o_orderkey // 100 AS z, o_orderkey // 10 % 10 AS y, o_orderkey % 10 AS x, CAST(floor(o_totalprice) AS BIGINT) % 100 AS v FROM orders WHERE o_orderkey < 1000)"
+
+
+def cube(spark, d):
+    v = (F.floor("o_totalprice").cast("long") % 100).cast("double")
+    return read(spark, d, "orders").filter("o_orderkey < 1000").select(F.expr("o_orderkey div 100").alias("z"), F.expr("o_orderkey div 10 % 10").alias("y"), (F.col("o_orderkey") % 10).alias("x"), v.alias("re"), F.lit(0.0).alias("im"))
+
+
+@query(f"WITH {CUBE} SELECT CAST(sum(v) AS BIGINT) / 1000 AS re, 0.0::DOUBLE AS im FROM range(1, 1025) j JOIN cube ON z = j.range * 5 % 10 AND y = j.range * 3 % 10 AND x = j.range % 10")
+def strided_checksum(spark, d):
+    return fields.strided_checksum(cube(spark, d), 10, 10, 10)
+
+
+@query(f"WITH {CUBE}, c AS (SELECT z, y, x, v FROM cube WHERE z < 4 AND y < 4 AND x < 4 AND v IS NOT NULL), t AS (SELECT a.range AS z, b.range AS y, e.range AS x, v, pi() / 2 * (a.range * z + b.range * y + e.range * x) AS w FROM range(4) a, range(4) b, range(4) e, c) SELECT z, y, x, round(sum(v * cos(w)), 4) + 0 AS re, round(-sum(v * sin(w)), 4) + 0 AS im FROM t GROUP BY 1, 2, 3")
+def fourier_cube(spark, d):
+    whole = spark.range(64).select(F.expr("id div 16").alias("z"), F.expr("id div 4 % 4").alias("y"), (F.col("id") % 4).alias("x"))
+    part = whole.join(cube(spark, d), ["z", "y", "x"], "left").select("z", "y", "x", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    return fields.fft3(part).select("z", "y", "x", *((F.round(c, 4) + 0).alias(c) for c in ("re", "im")))
+
+
+@query(f"WITH {GRID}, s AS (SELECT r, c, 2 * v - 4 * v AS v FROM grid UNION ALL SELECT r + 1, c, v FROM grid UNION ALL SELECT r - 1, c, v FROM grid UNION ALL SELECT r, c + 1, v FROM grid UNION ALL SELECT r, c - 1, v FROM grid) SELECT r, c, CAST(sum(s.v) AS DOUBLE) AS v FROM s JOIN grid USING (r, c) GROUP BY r, c")
+def grid_residual(spark, d):
+    g = grid(spark, d).withColumn("v", F.col("v").cast("double"))
+    return fields.residual(g, g.withColumn("v", F.col("v") * 2), ["r", "c"])
+
+
+@query("WITH k AS (SELECT a.range * 2 + 1 AS p, b.range * 2 + 1 AS q FROM range(12) a, range(12) b), t AS (SELECT p_partkey AS i, 0.5 AS x, (p_partkey % 9 + 1) / 10 AS y, (p_size % 9 + 1) / 10 AS z FROM part WHERE p_partkey <= 50) SELECT i, round(16 / pow(pi(), 2) * sum(sinh(pi() * sqrt(p * p + q * q) * x) / sinh(pi() * sqrt(p * p + q * q)) * sin(p * pi() * y) * sin(q * pi() * z) / (p * q)), 5) AS v FROM t, k GROUP BY i")
+def face_series(spark, d):
+    pts = read(spark, d, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("i"), F.lit(0.5).alias("x"), ((F.col("p_partkey") % 9 + 1) / 10).alias("y"), ((F.col("p_size") % 9 + 1) / 10).alias("z"))
+    return fields.face_series(pts, 12).select("i", F.round("v", 5).alias("v"))
+
+
+@query("WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS e, CAST(l_quantity AS BIGINT) - 25 AS k, l_linenumber AS v FROM lineitem), p AS (SELECT *, CASE WHEN v >= 7 THEN 0 ELSE greatest((k + 1) * e * 2 / 3, 0) END AS p FROM s) SELECT l_orderkey, l_linenumber, round(p, 4) AS p, CASE WHEN e * 2 / 3 + v * v * (k + 1) * 2 / 3 * p <= 1.111111e-37 THEN 0.0 ELSE round(sqrt(e * 2 / 3 + v * v * (k + 1) * 2 / 3 * p), 4) END AS speed FROM p")
+def state_equation(spark, d):
+    s = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.floor("l_extendedprice").cast("long") % 1000).alias("e"), (F.col("l_quantity").cast("long") - 25).alias("k"), F.col("l_linenumber").alias("v"))
+    p = s.withColumn("p", fields.pressure(F.col("e"), F.col("k"), F.col("v"), most=7))
+    return p.select("l_orderkey", "l_linenumber", F.round("p", 4).alias("p"), F.round(fields.sound_speed(F.col("e"), F.col("k"), F.col("p"), F.col("v")), 4).alias("speed"))
+
+
+@query(f"WITH {TWO} SELECT i, greatest(least((v - 300 + w - 300) / 2, (v - 300) * 2.0::DOUBLE, (w - 300) * 2.0::DOUBLE, 500.0::DOUBLE), 0) AS slope FROM x")
+def slope_limit(spark, d):
+    x, y = two(spark, d)
+    both = x.join(y.select("i", F.col("v").alias("w")), "i")
+    return both.select("i", fields.slope_limiter(F.col("v") - 300, F.col("w") - 300, 500.0).alias("slope"))
+
+
+@query("WITH s AS (SELECT o_orderpriority AS k, o_custkey % 50 - o_orderkey % 47 AS d FROM orders), r AS (SELECT k, d, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2 AS r FROM s WHERE d <> 0), w AS (SELECT k, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM r GROUP BY k) SELECT k, n, w_plus, w_minus, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM s JOIN w USING (k) GROUP BY k, n, w_plus, w_minus")
+def signed_ranks(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), (F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 47).alias("b"))
+    return fields.signed_ranks(o, ["k"], "a", "b").withColumn("t", F.round("t", 6))
+
+
+def dataflow_checksums(spark, d):
+    """No SQL: streams depend on the sample before; tests hold the published checksums."""
+    parts = [dataflow.checksum(spark, kind).select(F.lit(kind).alias("kind"), "total") for kind in ("BH", "WH", "SH")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUERIES["dataflow_checksums"] = dataflow_checksums

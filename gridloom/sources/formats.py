@@ -71,7 +71,7 @@ def append_measurements(rows: DataFrame, path: str, sep: str = ",") -> None:
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """YAML reports of ``section: / key: value`` lines: (file, variant, section, key, value)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     top = F.when(F.col("line").rlike(r"^\S[^:]*:\s*$"), F.regexp_extract("line", r"^(\S[^:]*):", 1))
     from pyspark.sql import Window
 
@@ -82,7 +82,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_tree(spark: SparkSession, path: str) -> DataFrame:
     """A nested domain document, flattened level by level: (path, parent, scope, depth)."""
-    document = spark.read.option("wholetext", True).text(path).select("value")
+    document = spark.read.text(path, wholetext=True).select("value")
     level = document.select(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.get_json_object("value", "$.scope").alias("scope"), F.lit(0).alias("depth"), F.get_json_object("value", "$.domains").alias("rest"))
     out, depth = level, 0
     while depth < 32 and level.filter("rest is not null").limit(1).count():
@@ -104,3 +104,37 @@ def read_loc(spark: SparkSession, path: str) -> DataFrame:
     """Line counts (lang, problem, variation, loc) summed by key."""
     rows = spark.read.csv(path, header=True)
     return rows.groupBy("lang", "problem", "variation").agg(F.sum(F.col("loc").cast("long")).alias("loc"))
+
+
+def _tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(k, t): the words of one file, numbered through."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("k", "t"))
+
+
+def read_row_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sparse rows: rows and non-zeros; each row's length; each row's length again and its ``val col`` pairs; each row's x, b and exact solution.
+
+    Gives (row, col, val) and (i, x, b, exact).
+    """
+    from pyspark.sql import Window
+
+    words = _tokens(spark, path)
+    rows, nonzeros = (int(r["t"]) for r in words.filter("k < 2").orderBy("k").collect())  # two words
+    lengths = words.filter((F.col("k") >= 2) & (F.col("k") < 2 + rows)).select((F.col("k") - 2).cast("long").alias("row"), F.col("t").cast("long").alias("n"))
+    first = lengths.withColumn("at", F.sum("n").over(Window.orderBy("row")) - F.col("n")).withColumn("at", F.lit(3 + rows) + F.col("row") + F.col("at") * 2)
+    spots = first.filter("n > 0").select("row", F.explode(F.expr("sequence(at, at + 2 * n - 2, 2)")).alias("k"))
+    coo = spots.join(words.withColumnRenamed("t", "val"), "k").join(words.select((F.col("k") - 1).alias("k"), F.col("t").alias("col")), "k")
+    tail = words.filter(F.col("k") >= 2 + 2 * rows + 2 * nonzeros).withColumn("k", F.col("k") - (2 + 2 * rows + 2 * nonzeros))
+    vectors = tail.groupBy(F.expr("cast(k div 3 as long)").alias("i")).agg(*(F.max(F.when(F.col("k") % 3 == j, F.col("t").cast("double"))).alias(c) for j, c in enumerate(("x", "b", "exact"))))
+    return coo.select("row", F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val")), vectors
+
+
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Number of bodies, of axes, time; masses; positions; velocities: (id, mass, x, y, z, vx, vy, vz)."""
+    words = _tokens(spark, path)
+    n = int(words.filter("k = 0").first()["t"])
+    k = F.col("k") - 3 - n
+    body = F.when(k < 0, F.col("k") - 3).otherwise(F.expr(f"((k - 3 - {n}) % {3 * n}) div 3"))
+    part = F.when(k < 0, 0).otherwise(F.lit(1) + k % 3 + F.when(k >= 3 * n, 3).otherwise(0))
+    placed = words.filter((F.col("k") >= 3) & (F.col("k") < 3 + 7 * n)).select(body.cast("long").alias("id"), part.alias("part"), F.col("t").cast("double").alias("v"))
+    return placed.groupBy("id").agg(*(F.max(F.when(F.col("part") == j, F.col("v"))).alias(c) for j, c in enumerate(("mass", "x", "y", "z", "vx", "vy", "vz"))))

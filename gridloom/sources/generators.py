@@ -103,3 +103,28 @@ def hex_mesh(spark: SparkSession, n: int, length: float = 1.125) -> tuple[DataFr
     elems = spark.range(n**3).select(F.col("id").alias("elem"), F.posexplode(F.array(*(base + k for k in corners))).alias("corner", "node"))
     return nodes, elems
 
+
+
+# Of 1000, the upper ends of the classes of run lengths, and each class's least length and number of lengths.
+RUN_CLASSES = ((773, 1, 15), (937, 16, 16), (970, 32, 32), (974, 64, 64), (978, 128, 128), (981, 256, 256), (1000, 512, 1537))
+
+
+def material_regions(spark: SparkSession, units: int, elements: int, regions: int, balance: int = 1, seed: int = 0) -> DataFrame:
+    """(pe, elem, region): runs of elements of one region, later regions likelier by a power of their number, none twice in a row."""
+
+    def make(frames):
+        weights = np.arange(1, regions + 1, dtype=float) ** balance
+        for pdf in frames:
+            for pe in pdf["id"]:
+                g, out, last = np.random.default_rng([seed, int(pe)]), np.empty(0, dtype=int), -1
+                while len(out) < elements:
+                    free = np.roll(weights, int(pe))
+                    if last >= 0 and regions > 1:
+                        free[last] = 0
+                    last = int(g.choice(regions, p=free / free.sum()))
+                    draw = g.integers(1000)
+                    low, count = next((a, b) for top, a, b in RUN_CLASSES if draw < top)
+                    out = np.concatenate([out, np.full(low + g.integers(count), last + 1)])
+                yield pd.DataFrame({"pe": int(pe), "elem": np.arange(elements), "region": out[:elements]})
+
+    return spark.range(0, units, 1, units).mapInPandas(make, "pe long, elem long, region int")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import bodies, dataflow, fields
-from gridloom.sources import generators
+from gridloom.sources import formats, generators
 
 
 @pytest.mark.parametrize("kind,want", [("BH", 30892725), ("WH", 67349758), ("SH", 58875767)])
@@ -103,3 +103,25 @@ def test_statistics(spark):
     assert (r["n"], r["w_plus"], r["w_minus"]) == (4, 7.5, 2.5)
     low, high = fields.ratio_interval(rows, ["k"], "a", "b").select("low", "high").first()
     assert low < 27 / 20 < high
+
+
+def test_row_lists_and_bodies(spark, tmp_path):
+    (tmp_path / "a").write_text("3\n5\n2\n1\n2\n2 27.0 0 -1.0 2\n1 5.5 1\n2 -1.0 0 27 2\n0 26 1\n0 5.5 1\n0 26 1\n")
+    coo, vectors = formats.read_row_lists(spark, str(tmp_path / "a"))
+    assert sorted(map(tuple, coo.collect())) == [(0, 0, 27.0), (0, 2, -1.0), (1, 1, 5.5), (2, 0, -1.0), (2, 2, 27.0)]
+    assert sorted(map(tuple, vectors.collect())) == [(0, 0.0, 26.0, 1.0), (1, 0.0, 5.5, 1.0), (2, 0.0, 26.0, 1.0)]
+    (tmp_path / "b").write_text("2\n3\n0.5\n.25\n.75\n1 2 3\n4 5 6\n7 8 9\n10 11 12\n")
+    assert sorted(map(tuple, formats.read_bodies(spark, str(tmp_path / "b")).collect())) == [(0, 0.25, 1, 2, 3, 7, 8, 9), (1, 0.75, 4, 5, 6, 10, 11, 12)]
+
+
+def test_material_regions(spark):
+    r = generators.material_regions(spark, 2, 5000, 4).toPandas()
+    assert len(r) == 10000 and set(r["region"]) == {1, 2, 3, 4}
+
+
+def test_whole_documents(spark, tmp_path):
+    (tmp_path / "t").write_text('{\n"scope": "GLOBAL",\n"domains": {"a": {"scope": "NODE", "domains": {"b": {"scope": "CORE"}}}}}\n')
+    got = {r.path: (r.parent, r.scope, r.depth) for r in formats.read_json_tree(spark, str(tmp_path / "t")).collect()}
+    assert [v[1:] for _, v in sorted(got.items())] == [("GLOBAL", 0), ("NODE", 1), ("CORE", 2)]
+    (tmp_path / "r").write_text("Dimensions:\n  nx: 4\n  ny: 5\nTime Summary:\n  Total: 1.5\n")
+    assert {(r.section, r.key, r.value) for r in formats.read_report(spark, str(tmp_path / "r")).collect()} == {("Dimensions", "nx", "4"), ("Dimensions", "ny", "5"), ("Time Summary", "Total", "1.5")}

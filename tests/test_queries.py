@@ -16,7 +16,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, name):
     db = duckdb.connect()
     for f in os.listdir(SF):
