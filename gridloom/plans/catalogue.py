@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,9 +102,9 @@ PTS = "pts AS (SELECT vec_id AS i, CAST(round(embedding[1] * 1000) AS BIGINT) AS
 
 
 @query(f"WITH {PTS} SELECT a.i, CAST(40 * max((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS BIGINT) AS d FROM pts a, pts b GROUP BY a.i")
-def outer_diag(spark, d):
+def outer_diag(spark, d, some="vec_id < 40"):
     e = F.col("embedding")
-    pts = read(spark, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("i"), F.round(e[0].cast("double") * 1000).cast("long").alias("x"), F.round(e[1].cast("double") * 1000).cast("long").alias("y"))
+    pts = read(spark, d, "embeddings").filter(some).select(F.col("vec_id").alias("i"), F.round(e[0].cast("double") * 1000).cast("long").alias("x"), F.round(e[1].cast("double") * 1000).cast("long").alias("y"))
     return linalg.distances(pts, ["x", "y"], squared=True).filter("i = j").select("i", "d")
 
 
@@ -241,8 +243,8 @@ def restrict_inject(spark, d):
 
 
 @query(f"WITH {GRID}, o AS (SELECT a.range - 1 AS i, b.range - 1 AS j FROM range(3) a, range(3) b) SELECT 2 * r + 1 - i AS r, 2 * c + 1 - j AS c, CAST(sum(v * (64 // (2 ** (abs(i) + abs(j)))::BIGINT)) AS BIGINT) AS v FROM grid, o WHERE r < 30 GROUP BY 1, 2")
-def prolong_int(spark, d):
-    return stencil.prolong(grid(spark, d).filter("r < 30"), ["r", "c"], 64)
+def prolong_int(spark, d, some="r < 30"):
+    return stencil.prolong(grid(spark, d).filter(some), ["r", "c"], 64)
 
 
 def _heat_sql() -> str:
@@ -254,29 +256,32 @@ def _heat_sql() -> str:
 
 
 @query(_heat_sql())
-def heat_k_steps(spark, d):
-    g = grid(spark, d).filter("r < 10")
+def heat_k_steps(spark, d, rows=10):
+    g = grid(spark, d).filter(F.col("r") < rows)
     for _ in range(3):
-        g = stencil.apply_stencil(g, ["r", "c"], 16, [10, 100])
+        g = stencil.apply_stencil(g, ["r", "c"], 16, [rows, 100])
     return g
 
 
 @query(f"WITH RECURSIVE {GRID}, w AS (SELECT r * 100 + c AS id, r, c FROM grid WHERE v >= 80 AND r < 30 AND c < 30), e AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), reach(x, y) AS (SELECT id, id FROM w UNION SELECT x, b FROM reach JOIN e ON y = a), l AS (SELECT x, min(y) AS label FROM reach GROUP BY x) SELECT label, count(*) AS n FROM l GROUP BY label")
-def components(spark, d):
-    cells = grid(spark, d).filter("v >= 80 AND r < 30 AND c < 30").select((F.col("r") * 100 + F.col("c")).alias("id"), "r", "c")
+def components(spark, d, some="r < 30 AND c < 30"):
+    cells = grid(spark, d).filter("v >= 80").filter(some).select((F.col("r") * 100 + F.col("c")).alias("id"), "r", "c")
     return graph.components(cells, graph.grid_links(cells)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 50 AS a, o_orderkey % 60 + 100 AS b FROM orders WHERE o_orderkey % 7 = 0), f AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(x, k) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT b, k + 1 FROM reach JOIN f ON x = a WHERE k < 4) SELECT x AS state, min(k) AS cost FROM reach GROUP BY x")
-def bfs_levels(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 60 + 100).alias("b")).distinct()
+def bfs_levels(spark, d, some="o_orderkey % 7 = 0", depth=4):
+    o = read(spark, d, "orders").filter(some).select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 60 + 100).alias("b")).distinct()
     e = o.unionByName(o.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return graph.explore(spark.range(1).withColumnRenamed("id", "state"), lambda f: f.join(e, F.col("state") == F.col("a")).select(F.col("b").alias("state")), most=5).filter("cost <= 4")
+    start, expand = spark.range(1).withColumnRenamed("id", "state"), lambda f: f.join(e, F.col("state") == F.col("a")).select(F.col("b").alias("state"))
+    if depth is None:
+        return graph.explore(start, expand)
+    return graph.explore(start, expand, most=depth + 1).filter(F.col("cost") <= depth)
 
 
 @query("WITH RECURSIVE a AS (SELECT DISTINCT o_custkey % 40 AS tail, o_custkey % 40 + 1 + o_orderkey % 9 AS head FROM orders WHERE o_orderkey % 5 = 0), n AS (SELECT tail AS id FROM a UNION SELECT head FROM a), p(id, k) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT head FROM a) UNION SELECT head, k + 1 FROM p JOIN a ON id = tail) SELECT id, max(k) AS level FROM p GROUP BY id")
-def dag_levels(spark, d):
-    a = read(spark, d, "orders").filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 40).alias("tail"), (F.col("o_custkey") % 40 + 1 + F.col("o_orderkey") % 9).alias("head")).distinct()
+def dag_levels(spark, d, some="o_orderkey % 5 = 0"):
+    a = read(spark, d, "orders").filter(some).select((F.col("o_custkey") % 40).alias("tail"), (F.col("o_custkey") % 40 + 1 + F.col("o_orderkey") % 9).alias("head")).distinct()
     return graph.levels(a.select(F.col("tail").alias("id")).union(a.select("head")).distinct(), a)
 
 
@@ -352,18 +357,18 @@ def body_diagnostics(spark, d):
 
 
 @query("WITH b AS (SELECT vec_id AS id, CAST(label % 5 + 1 AS DOUBLE) AS m, CAST(round(embedding[1] * 1000) AS BIGINT) / 100 AS x, CAST(round(embedding[2] * 1000) AS BIGINT) / 100 AS y, CAST(round(embedding[3] * 1000) AS BIGINT) / 100 AS z FROM embeddings WHERE vec_id < 40), p AS (SELECT a.id, b.m, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2) + 0.25 AS s FROM b a JOIN b ON a.id <> b.id) SELECT id, round(-sum(m / sqrt(s)), 5) AS phi, round(sum(m / sqrt(s) / s * x), 5) AS ax, round(sum(m / sqrt(s) / s * y), 5) AS ay, round(sum(m / sqrt(s) / s * z), 5) AS az FROM p GROUP BY id")
-def gravity_pairs(spark, d):
+def gravity_pairs(spark, d, some="vec_id < 40"):
     e = F.col("embedding")
-    b = read(spark, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("id"), (F.col("label") % 5 + 1).cast("double").alias("mass"), *((F.round(e[k].cast("double") * 1000).cast("long") / 100).alias(a) for k, a in enumerate(bodies.AXES)))
+    b = read(spark, d, "embeddings").filter(some).select(F.col("vec_id").alias("id"), (F.col("label") % 5 + 1).cast("double").alias("mass"), *((F.round(e[k].cast("double") * 1000).cast("long") / 100).alias(a) for k, a in enumerate(bodies.AXES)))
     return bodies.gravity(b, 0.5).select("id", *(F.round(c, 5).alias(c) for c in ("phi", "ax", "ay", "az")))
 
 
 CUBE = "cube AS (SELECT o_orderkey // 100 AS z, o_orderkey // 10 % 10 AS y, o_orderkey % 10 AS x, CAST(floor(o_totalprice) AS BIGINT) % 100 AS v FROM orders WHERE o_orderkey < 1000)"
 
 
-def cube(spark, d):
+def cube(spark, d, some="o_orderkey < 1000"):
     v = (F.floor("o_totalprice").cast("long") % 100).cast("double")
-    return read(spark, d, "orders").filter("o_orderkey < 1000").select(F.expr("o_orderkey div 100").alias("z"), F.expr("o_orderkey div 10 % 10").alias("y"), (F.col("o_orderkey") % 10).alias("x"), v.alias("re"), F.lit(0.0).alias("im"))
+    return read(spark, d, "orders").filter(some).select(F.expr("o_orderkey div 100").alias("z"), F.expr("o_orderkey div 10 % 10").alias("y"), (F.col("o_orderkey") % 10).alias("x"), v.alias("re"), F.lit(0.0).alias("im"))
 
 
 @query(f"WITH {CUBE} SELECT CAST(sum(v) AS BIGINT) / 1000 AS re, 0.0::DOUBLE AS im FROM range(1, 1025) j JOIN cube ON z = j.range * 5 % 10 AND y = j.range * 3 % 10 AND x = j.range % 10")
@@ -373,8 +378,13 @@ def strided_checksum(spark, d):
 
 @query(f"WITH {CUBE}, c AS (SELECT z, y, x, v FROM cube WHERE z < 4 AND y < 4 AND x < 4 AND v IS NOT NULL), t AS (SELECT a.range AS z, b.range AS y, e.range AS x, v, pi() / 2 * (a.range * z + b.range * y + e.range * x) AS w FROM range(4) a, range(4) b, range(4) e, c) SELECT z, y, x, round(sum(v * cos(w)), 4) + 0 AS re, round(-sum(v * sin(w)), 4) + 0 AS im FROM t GROUP BY 1, 2, 3")
 def fourier_cube(spark, d):
-    whole = spark.range(64).select(F.expr("id div 16").alias("z"), F.expr("id div 4 % 4").alias("y"), (F.col("id") % 4).alias("x"))
-    part = whole.join(cube(spark, d), ["z", "y", "x"], "left").select("z", "y", "x", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    return _fourier(spark, cube(spark, d), 4, 4)
+
+
+def _fourier(spark, cells, nz, n):
+    """Transform of the nz x n x n cube; cells that are missing count as 0."""
+    whole = spark.range(nz * n * n).select(F.expr(f"id div {n * n}").alias("z"), F.expr(f"id div {n} % {n}").alias("y"), (F.col("id") % n).alias("x"))
+    part = whole.join(cells, ["z", "y", "x"], "left").select("z", "y", "x", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
     return fields.fft3(part).select("z", "y", "x", *((F.round(c, 4) + 0).alias(c) for c in ("re", "im")))
 
 
@@ -385,8 +395,8 @@ def grid_residual(spark, d):
 
 
 @query("WITH k AS (SELECT a.range * 2 + 1 AS p, b.range * 2 + 1 AS q FROM range(12) a, range(12) b), t AS (SELECT p_partkey AS i, 0.5 AS x, (p_partkey % 9 + 1) / 10 AS y, (p_size % 9 + 1) / 10 AS z FROM part WHERE p_partkey <= 50) SELECT i, round(16 / pow(pi(), 2) * sum(sinh(pi() * sqrt(p * p + q * q) * x) / sinh(pi() * sqrt(p * p + q * q)) * sin(p * pi() * y) * sin(q * pi() * z) / (p * q)), 5) AS v FROM t, k GROUP BY i")
-def face_series(spark, d):
-    pts = read(spark, d, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("i"), F.lit(0.5).alias("x"), ((F.col("p_partkey") % 9 + 1) / 10).alias("y"), ((F.col("p_size") % 9 + 1) / 10).alias("z"))
+def face_series(spark, d, some="p_partkey <= 50"):
+    pts = read(spark, d, "part").filter(some).select(F.col("p_partkey").alias("i"), F.lit(0.5).alias("x"), ((F.col("p_partkey") % 9 + 1) / 10).alias("y"), ((F.col("p_size") % 9 + 1) / 10).alias("z"))
     return fields.face_series(pts, 12).select("i", F.round("v", 5).alias("v"))
 
 
@@ -417,3 +427,31 @@ def dataflow_checksums(spark, d):
 
 
 QUERIES["dataflow_checksums"] = dataflow_checksums
+
+
+# The queries above whose SQL reads a part of its table, over the whole of it. No SQL; tests hold them against brute force.
+def layers(df: DataFrame, axis: str) -> int:
+    """Length of an axis that starts at 0."""
+    return (df.agg(F.max(axis)).first()[0] or 0) + 1
+
+
+for _name, _f in {"outer_diag": outer_diag, "prolong_int": prolong_int, "components": components, "dag_levels": dag_levels, "gravity_pairs": gravity_pairs, "face_series": face_series}.items():
+    QUERIES[f"whole_{_name}"] = partial(_f, some="true")
+QUERIES["whole_bfs_levels"] = partial(bfs_levels, some="true", depth=None)
+
+
+def whole_heat_k_steps(spark, d):
+    return heat_k_steps(spark, d, layers(grid(spark, d), "r"))
+
+
+def whole_strided_checksum(spark, d):
+    cells = cube(spark, d, "true")
+    return fields.strided_checksum(cells, 10, 10, layers(cells, "z"))
+
+
+def whole_fourier_cube(spark, d):
+    cells = cube(spark, d, "true")
+    return _fourier(spark, cells, layers(cells, "z"), 10)
+
+
+QUERIES |= {f.__name__: f for f in (whole_heat_k_steps, whole_strided_checksum, whole_fourier_cube)}
