@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed formats of credentials, by kind.
+#: A name that holds one of these words, which further name characters may follow, and what stands between it and its value.
+KEY = r"""(?i:api[_-]?key|(?:access|account|auth|encryption|master|private|signing|storage)[_-]?key|secret|token|passw(?:or)?d|passphrase|pwd|credential)[A-Za-z0-9_-]*+["']?\s{0,3}[:=]\s{0,3}"""
+#: A quoted value ends before its closing quote, whatever it holds; any other at white space, a quote, comma, semicolon or bracket.
+QUOTED = "|".join(rf"""{q}(?=(?:\\.|[^{q}\\\r\n]){{8}})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+(?={q})""" for q in "\"'")
+OPEN = r"""["']?[^\s"'`,;<>(){}\[\]]{8,}"""
+#: Fixed formats of credentials, by kind. A private key that is assigned is of its own kind.
 PATTERNS = {
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assignment": r"""(?i:api[_-]?key|secret|token|passw(?:or)?d|pwd|credential)["']?\s{0,3}[:=]\s{0,3}["']?[A-Za-z0-9+/_.=-]{8,}""",
+    "assignment": rf"""{KEY}(?!["']?-----BEGIN)(?:{QUOTED}|{OPEN})""",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What any pattern needs, so that texts without it are left out early.
@@ -124,13 +129,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), path.alias("path"))
     low = F.lower("t")
-    some = [F.contains("t", F.lit(h)) for h in HINTS] + [F.contains(low, F.lit(h)) for h in ("key", "secret", "token", "passw", "pwd", "credential")]
+    some = [F.contains("t", F.lit(h)) for h in HINTS] + [F.contains(low, F.lit(h)) for h in ("key", "secret", "token", "passw", "passphrase", "pwd", "credential")]
     rows = rows.filter(F.expr("true") & _any(some) & F.col("t").rlike(ANY))
     found = rows.withColumn("m", F.regexp_extract_all("t", F.lit(f"({ANY})"), 1)).withColumn("gaps", F.split("t", ANY, -1))
     # A match starts behind all earlier matches and gaps.
     starts = F.expr("transform(sequence(0, size(m) - 1), i -> struct(i AS i, aggregate(slice(gaps, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + length(x)) AS at, m[i] AS hit))")
     found = found.withColumn("x", F.explode(starts)).select("doc_id", "path", "t", F.col("x.at").alias("at"), F.col("x.hit").alias("hit"))
-    lead = F.regexp_extract("hit", r"""^(?i:api[_-]?key|secret|token|passw(?:or)?d|pwd|credential)["']?\s{0,3}[:=]\s{0,3}["']?""", 0)
+    lead = F.regexp_extract("hit", rf"""^{KEY}["']?""", 0)
     kind = F.coalesce(*(F.when(F.col("hit").rlike(f"^(?:{p})"), k) for k, p in PATTERNS.items()))
     found = found.withColumn("lead", lead).withColumn("kind", kind)
     start = F.col("at") + F.length("lead")

@@ -145,5 +145,11 @@ def test_secrets(spark):
     assert all(rows[2][1][r.start :].startswith(r.value) for r in got)
 
 
+def test_secret_candidates(spark):
+    lines = {"SECRET_KEY='9fK2mQ7xZ1bV5nC8dR2t'": "9fK2mQ7xZ1bV5nC8dR2t", "export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCY": "wJalrXUtnFEMIK7MDENGbPxRfiCY", "access_key: Zk19XbQ7mN42LpR8": "Zk19XbQ7mN42LpR8", "private_key=9f8a6b5c4d3e2f1a": "9f8a6b5c4d3e2f1a", "credentials = 'Qm83nX72kLpZ41Ra'": "Qm83nX72kLpZ41Ra", 'password = "P@ssw0rd!2024x" x': "P@ssw0rd!2024x", "DB_PASSWORD=P@ssw0rd!2024x": "P@ssw0rd!2024x", 'pwd: "it\'s (4, 7); k9"': "it's (4, 7); k9", 'token = "9f8a6b5c4d': "9f8a6b5c4d", 'token = "ab12\\"cd34ef" y': 'ab12\\"cd34ef', 'private_key = "-----BEGIN RSA PRIVATE KEY-----': "-----BEGIN RSA PRIVATE KEY-----"}
+    got = {r.doc_id: (r.value, r.start) for r in secret_scan.candidates(docs(spark, list(enumerate(lines))), path_col=None).collect()}
+    assert {t: got.get(i) for i, t in enumerate(lines)} == {t: (v, t.index(v)) for t, v in lines.items()}
+
+
 def test_shared_folder(spark):
     assert common.keep(spark.range(3), "t").count() == 3
