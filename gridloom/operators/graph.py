@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..model import cut_lineage
 
 
-def explore(start: DataFrame, expand: Callable[[DataFrame], DataFrame], most: int = 10_000) -> DataFrame:
-    """(state, cost): every state that ``expand`` (frontier -> state) leads to, with its least number of steps."""
+def explore(start: DataFrame, expand: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """(state, cost): every state that ``expand`` (frontier -> state) leads to, with its least number of steps; with ``most`` only so many steps."""
     seen = cut_lineage(start.select("state").distinct().withColumn("cost", F.lit(0)))
     frontier, cost = seen, 0
-    while cost < most:
+    while most is None or cost < most:
         cost += 1
         frontier = cut_lineage(expand(frontier).select("state").distinct().join(seen, "state", "left_anti").withColumn("cost", F.lit(cost)))
         if not frontier.limit(1).count():
@@ -57,12 +57,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = new.select("id", F.col("new").alias("label"))
 
 
-def levels(nodes: DataFrame, arcs: DataFrame, most: int = 1_000) -> DataFrame:
-    """(id, level): the longest path from a source of an acyclic graph (tail, head)."""
+def levels(nodes: DataFrame, arcs: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, level): the longest path from a source of an acyclic graph (tail, head). A cycle, or a path of ``most`` arcs or more, is an error."""
+    # A path of an acyclic graph has fewer arcs than there are nodes.
+    limit = nodes.select("id").union(arcs.select("tail")).union(arcs.select("head")).distinct().count() if most is None else most
     out = now = cut_lineage(nodes.join(arcs.select(F.col("head").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("level")))
-    for k in range(1, most):
+    k = 0
+    while True:
+        k += 1
         now = cut_lineage(arcs.join(now, F.col("tail") == F.col("id")).select(F.col("head").alias("id"), F.lit(k).alias("level")).distinct())
         if not now.limit(1).count():
-            break
+            return out.groupBy("id").agg(F.max("level").alias("level"))
+        if k >= limit:
+            raise ValueError(f"a path of {k} arcs: the graph has a cycle or is deeper than most")
         out = out.unionByName(now)
-    return out.groupBy("id").agg(F.max("level").alias("level"))
+        if k % 8 == 0:
+            out = cut_lineage(out.groupBy("id").agg(F.max("level").alias("level")))

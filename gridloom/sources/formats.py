@@ -85,7 +85,7 @@ def read_json_tree(spark: SparkSession, path: str) -> DataFrame:
     document = spark.read.text(path, wholetext=True).select("value")
     level = document.select(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.get_json_object("value", "$.scope").alias("scope"), F.lit(0).alias("depth"), F.get_json_object("value", "$.domains").alias("rest"))
     out, depth = level, 0
-    while depth < 32 and level.filter("rest is not null").limit(1).count():
+    while level.filter("rest is not null").limit(1).count():
         depth += 1
         kids = level.filter("rest is not null").select("path", F.explode(F.from_json("rest", "map<string,string>")).alias("name", "doc"))
         level = kids.select(F.concat_ws("/", "path", "name").alias("path"), F.col("path").alias("parent"), F.get_json_object("doc", "$.scope").alias("scope"), F.lit(depth).alias("depth"), F.get_json_object("doc", "$.domains").alias("rest"))
