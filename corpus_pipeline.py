@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity filter, exact and near deduplication, decontamination, packing.
 
-Every stage reads all that its predecessor kept; all but the last return the columns of ``documents``. A null doc_id
-counts as an id of its own: such rows are kept or dropped together. Null texts count as empty.
+Every stage reads all that its predecessor kept and decides on each row by itself, also where rows share an id or have
+none; all but the last return the columns of ``documents``. Null texts count as empty; other columns can have any name.
 """
 
 from __future__ import annotations
@@ -12,41 +12,61 @@ from pyspark.sql import functions as F
 from gridloom.llm import common, decontam, exact_dedup, ngram_join, packing, toxicity
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids in ``dropped`` (a column doc_id)."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells all rows apart, and its name.
+
+    That is doc_id, but below all ids for rows that share theirs or have none: only those are written to the shared folder,
+    so their numbers stay the same whenever they are read.
+    """
+    key, other = _fresh(docs, "row_key"), _fresh(docs, "shared_id")
+    counts = docs.groupBy(F.col("doc_id").cast("long").alias(other)).agg(F.count("*").alias("n"))
+    shared = common.keep(counts.filter(f"n > 1 OR {other} IS NULL").select(other), "shared-ids")
+    least = docs.agg(F.least(F.min("doc_id").cast("long"), F.lit(0).cast("long"))).first()[0] or 0
+    same = docs["doc_id"].cast("long").eqNullSafe(shared[other])
+    numbered = common.keep(docs.join(shared, same, "left_semi").withColumn(key, F.lit(least - 1) - F.monotonically_increasing_id()), "numbered")
+    return docs.join(shared, same, "left_anti").withColumn(key, F.col("doc_id").cast("long")).unionByName(numbered), key
+
+
+def _without(docs: DataFrame, key: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the rows whose key isn't in ``dropped`` (a column doc_id of keys)."""
+    gone = dropped.select(F.col("doc_id").alias(_fresh(docs, "gone"))).distinct()
+    return docs.join(gone, docs[key] == gone[gone.columns[0]], "left_anti").select(*columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject."""
-    return toxicity.toxicity_scores(docs, common.table(spark, sf_dir, "labels"), carry=True).filter(~F.col("_rejected")).drop("_rejected")
+    return toxicity.kept(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the largest id; of rows equal in id and text one stays."""
-    found = common.keep(exact_dedup.equal_texts(docs), "equal")
-    twice = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if not twice and not found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-        return _without(docs, found.filter(~F.col("kept")))
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_key"])
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (F.col("_key") == F.col("_sha")), "left_semi").drop("_key")
+    """One document of each group of equal texts, that with the largest id, those before rows that share an id."""
+    rows, key = _keyed(docs)
+    return _without(rows, key, common.keep(exact_dedup.equal_texts(rows, id_col=key), "equal").filter(~F.col("kept")), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of texts that share 80 of 100 of their 5-word shingles."""
-    return _without(docs, ngram_join.jaccard_components(docs, k=5, percent=80).filter("component_id <> doc_id"))
+    """One document, that with the smallest key, of each component of texts that share 80 of 100 of their 5-word shingles."""
+    rows, key = _keyed(docs)
+    return _without(rows, key, ngram_join.jaccard_components(rows, k=5, percent=80, id_col=key).filter("component_id <> doc_id"), docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, common.keep(decontam.leaks(docs, common.table(spark, sf_dir, "benchmark")), "leaks"))
+    rows, key = _keyed(docs)
+    return _without(rows, key, common.keep(decontam.leaks(rows, common.table(spark, sf_dir, "benchmark"), id_col=key), "leaks"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 ids: one row per piece of a document."""
-    return packing.pack_query(docs, slots=20)
+    return packing.pack_query(docs, most=1 << 17)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_leaks), ("best-fit packing", pack)]

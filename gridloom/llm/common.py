@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,18 +13,30 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK = "/tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where it is unset, ``set_shared_dir`` has to name one; a folder of the driver's machine would be none for executors
+    elsewhere, so there only a session that runs in one process gets one by itself.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or _chosen.get("dir")
     if not base:
-        os.makedirs(_FALLBACK, exist_ok=True)
-        base = f"file://{_FALLBACK}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _chosen["dir"] = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+        atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
     return base.rstrip("/")
 
 
+_chosen: dict[str, str] = {}
+
+
+def set_shared_dir(uri: str) -> None:
+    """The shared folder for sessions in which spark.checkpoint.dir is unset."""
+    _chosen["dir"] = uri
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, below a folder of this application (see ``release``)."""
     return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -59,31 +74,42 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def mapped(df: DataFrame, function: Callable, schema, encodes: bool = False) -> DataFrame:
+#: What a Python process keeps from one task of a run to the next, by run.
+held: dict[str, object] = {}
+
+
+def mapped(df: DataFrame, function: Callable, schema, run_id: str | None = None) -> DataFrame:
     """df.mapInArrow in batches of bounded size, whatever the texts' lengths; a task's end gives free memory back.
 
-    What tokenizers have remembered in a Python process stays only from one task that ``encodes`` to the next.
+    What a Python process holds for a run other than ``run_id`` is dropped first.
+
+    Spark takes the bounds of batches from the session when it plans a query, so this sets them there (4 MB, 2,000
+    rows), unless the session has bounds of its own.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf = df.sparkSession.conf
+    for key, value in _BATCHES.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
 
     def run(batches):
-        import sys
-
-        if not encodes:
-            sys.__dict__.pop("_gridloom_encoders", None)
-        yield from function(batches)
         import ctypes
 
         import pyarrow
 
-        pyarrow.default_memory_pool().release_unused()
+        # The C library's allocator can be told to give memory back.
+        pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+        for other in [r for r in held if r != run_id]:
+            del held[other]
+        yield from function(batches)
         if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
             libc.malloc_trim(0)
 
     return df.mapInArrow(run, schema)
 
 
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def text_slices(ids, texts, most: int = 500_000) -> Iterator[tuple[list, list[bytes]]]:
     """Arrow columns (ids, texts) as lists, texts in UTF-8, about ``most`` bytes of text at a time."""
     import numpy as np

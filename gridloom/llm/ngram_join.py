@@ -14,7 +14,8 @@ verified against their hubs and linked classes are contracted. A family of near
 component. In a second round posting lists give every pair of groups of *different* components that passes the size
 and position filters, group pairs are expanded to their classes and verified. So no link that joins two components is lost.
 
-Verification computes both sets from the whole texts and compares 100 * common >= percent * union.
+Verification computes both sets from the whole texts and compares 100 * common >= percent * union. Words are told apart
+by their bytes, shingles by 128 bits of their words' xxh3; candidates are found by the first 64 of them.
 """
 
 from __future__ import annotations
@@ -29,17 +30,13 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .wordhash import Words, mix
+from .wordhash import Words, common_shingles, shingle_sets
 
 _BITS = np.uint64((1 << 24) - 1)
 #: Shingles that the prefixes of linked documents must share, as far as they have so many.
 SHARED = 4
 
 
-def shingle_sets(docs: list[bytes], k: int) -> list[np.ndarray]:
-    return [np.unique(s) for s in Words(docs).shingles(k)]
-
-
 def need(n: int, m: int, percent: int) -> int:
     """Least overlap of linked sets of n and m shingles: ceil(p (n + m) / (100 + p))."""
     return -(-percent * (n + m) // (100 + percent))
@@ -97,7 +94,7 @@ def signatures(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
         for batch in batches:
             for ids, texts in common.text_slices(batch.column(0), batch.column(1)):
                 fps, gids, sizes, prefixes = [], [], [], []
-                for u in shingle_sets(texts, k):
+                for u, more in shingle_sets(texts, k):
                     n = len(u)
                     sizes.append(n)
                     if not n:
@@ -114,7 +111,7 @@ def signatures(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
                     prefix = early[:p]
                     if len(prefix) < p:
                         prefix = np.concatenate([prefix, u[late[np.argsort(rank_of(rank, at))]][: p - len(prefix)]])
-                    fps.append(xxhash.xxh3_128_digest(u.tobytes()))
+                    fps.append(xxhash.xxh3_128_digest(u.tobytes() + more.tobytes()))
                     gids.append(xxhash.xxh3_64_intdigest(prefix.tobytes(), n) - (1 << 63))
                     prefixes.append(prefix.view(np.int64))
                 lens = np.cumsum([0, *(0 if p is None else len(p) for p in prefixes)])
@@ -277,13 +274,13 @@ def verified(pairs: DataFrame, sources: DataFrame, rows: DataFrame, k: int, perc
                 texts = part.column(4).cast(pa.binary()).to_pylist()
                 sets = shingle_sets(texts, k)
                 for b, share, a, fp, u in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), sets, strict=True):
-                    if not len(u) or xxhash.xxh3_128_digest(u.tobytes()) != fp:
+                    if not len(u[0]) or xxhash.xxh3_128_digest(u[0].tobytes() + u[1].tobytes()) != fp:
                         continue  # another row with the same doc_id
                     if a is None:
                         now, own = (b, share), u
                     elif now == (b, share):
-                        both = len(np.intersect1d(own, u, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(u) - both):
+                        both = common_shingles(own, u)
+                        if 100 * both >= percent * (len(own[0]) + len(u[0]) - both):
                             out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)], ["a", "b"])
@@ -297,7 +294,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     Texts are lower-cased (A to Z) and cut at ASCII white space; a document with fewer than k words has its whole
     sequence as its one shingle. A document without words (empty or null text) links with nothing, not even its like.
     Rows that share an id are judged each for itself; a null id is never the smallest of a component with ids.
-    Shingles are held as 64-bit hashes. ``frequent`` bounds the table of frequent shingles that is sent to each task.
+    Very long texts are read whole, a document at a time. ``frequent`` bounds the table of frequent shingles that is
+    sent to each task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text"))

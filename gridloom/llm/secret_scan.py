@@ -32,18 +32,22 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What any pattern needs, so that texts without it are left out early.
 HINTS = ("AKIA", "ASIA", "gh", "xox", "eyJ", "-----BEGIN")
-#: Words of which placeholders and ordinary identifiers are made.
-DICTIONARY = ("example", "sample", "dummy", "test", "placeholder", "changeme", "password", "secret", "token", "your", "here", "value", "none", "null", "string", "user", "admin", "key", "default", "config", "public", "name", "xxxx", "todo", "insert", "replace", "access", "client", "server", "production", "localhost")
+#: Words of which placeholders and ordinary identifiers are made; a longer list can be given instead.
+PLACEHOLDERS = ("example", "sample", "dummy", "test", "placeholder", "changeme", "password", "secret", "token", "your", "here", "value", "none", "null", "string", "user", "admin", "default", "config", "public", "name", "xxxx", "todo", "insert", "replace", "access", "client", "server", "production", "localhost")
+WORDS = (
+    "about", "account", "action", "address", "after", "again", "array", "async", "author", "await", "back", "before", "begin", "between", "body", "boolean", "branch", "buffer", "build", "button", "cache", "call", "check", "child", "class", "clear", "click", "close", "code", "color", "column", "command", "comment", "commit", "connect", "content", "context", "control", "copy", "count", "create", "current", "data", "date", "debug", "delete", "detail", "device", "document", "download", "element", "email", "empty", "enable", "encode", "engine", "entry", "environ", "error", "event", "factory", "false", "field", "file", "filter", "first", "float", "folder", "format", "from", "function", "global", "group", "handle", "hash", "head", "height", "home", "host", "image", "import", "index", "info", "input", "item", "java", "kernel", "label", "language", "last", "length", "level", "library", "line", "link", "list", "load", "local", "login", "long", "main", "manager", "method", "model", "module", "native", "network", "node", "number", "object", "open", "option", "order", "output", "page", "param", "parent", "parse", "part", "path", "point", "port", "print", "private", "process", "project", "property", "provider", "query", "read", "record", "register", "remove", "report", "request", "reset", "resource", "response", "result", "return", "root", "scale", "schema", "search", "select", "service", "session", "setting", "size", "source", "start", "state", "static", "status", "stop", "stream", "system", "table", "target", "task", "text", "thread", "time", "title", "type", "update", "upload", "version", "view", "width", "window", "with", "work", "write",
+)
+DICTIONARY = (*PLACEHOLDERS, *WORDS)
 NAMES = ("length", "changes", "digits", "upper", "distinct", "coverage", "repeats", "path_test", "near_example", "near_assign", "near_hash", "header", "vowels", "clusters", "spaces")
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> list[Column]:
+def features(value: Column, before: Column, after: Column, path: Column, dictionary: tuple[str, ...] = DICTIONARY) -> list[Column]:
     """The columns NAMES of a candidate's value, the text on both sides and the path. All are doubles, none is null."""
     n = F.greatest(F.length(value), F.lit(1))
     low = F.lower(value)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "s")
     changes = F.length(kinds) - F.length(F.regexp_replace(kinds, "(?<=l)[uds]|(?<=u)[lds]|(?<=d)[lus]|(?<=s)[lud]", ""))
-    words = "|".join(DICTIONARY)
+    words = "|".join(sorted(dictionary, key=lambda w: (-len(w), w)))
     near = F.lower(F.concat_ws(" ", before, after))
     flag = lambda c, pattern: F.coalesce(c.rlike(pattern), F.lit(False)).cast("double")
     return [
@@ -66,16 +70,16 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
 
 
 def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 11) -> DataFrame:
-    """Labelled findings to learn from, made by rule: value, before, after, path, label (1: a real secret)."""
+    """Labelled findings to learn from where none are given, made by rule: value, before, after, path, label (1: a real secret)."""
     rng = random.Random(seed)
     sets = {"hex": "0123456789abcdef", "base": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "alnum": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     sets["symbols"] = sets["alnum"] + "!@#$%^&*?-_+"
     plain = ["forest", "animal", "river", "window", "request", "response", "handler", "session", "manager", "current", "service", "module", "factory", "builder", "parser", "storage", "message", "language", "morning", "between", "counter", "provider", "context", "header"]
-    fill = ["thand", "ereon", "config", "let", "the", "und", "que", "a", "ouh", "set", "return", "of", "it"]
+    fill = ["we", "then", "config", "let", "the", "und", "que", "a", "for", "set", "return", "of", "it"]
     words = lambda k: " ".join(rng.choice(fill) for _ in range(k))
     drawn = lambda kind, k: "".join(rng.choice(sets[kind]) for _ in range(k))
     lead = lambda: rng.choice(['token = "', "token: ", 'api_key = "', "secret=", 'password = "', "SECRET_KEY='", "pwd: "])
-    good = ["src/app.py", "src4", "conf/settings.yml", "src0", "lib/client.js", "deploy/prod.env", "src12"]
+    good = ["src/app.py", "", "conf/settings.yml", "main.go", "lib/client.js", "deploy/prod.env", "crawl"]
     bad = ["tests/test_auth.py", "docs/readme.md", "examples/demo.py", "fixtures/sample.json"]
     header = lambda: f"-----BEGIN {rng.choice(['', 'RSA ', 'EC ', 'DSA ', 'OPENSSH ', 'ENCRYPTED '])}PRIVATE KEY-----"
     jwt = lambda: f"eyJ{drawn('alnum', rng.randrange(15, 40))}.eyJ{drawn('alnum', rng.randrange(20, 120))}.{drawn('alnum', rng.randrange(20, 45))}"
@@ -103,10 +107,10 @@ def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 11) -> Da
         else:
             kind = rng.randrange(9)
             if kind == 0:
-                value = "".join(w if rng.random() < 0.5 else w.upper() for w in rng.sample(DICTIONARY, 3))
+                value = "".join(w if rng.random() < 0.5 else w.upper() for w in rng.sample(PLACEHOLDERS, 3))
                 before += lead()
             elif kind == 1:
-                value, before = "_".join(rng.sample(DICTIONARY, rng.randrange(2, 4))), before + lead()
+                value, before = "_".join(rng.sample(PLACEHOLDERS, rng.randrange(2, 4))), before + lead()
             elif kind == 2:
                 value, before = rng.choice("xX0*1a") * rng.randrange(8, 40), before + lead()
             elif kind == 3:
@@ -125,15 +129,30 @@ def labelled_findings(spark: SparkSession, n: int = 3_000, seed: int = 11) -> Da
     return spark.createDataFrame(rows, "value string, before string, after string, path string, label double")
 
 
-def fit_forest(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 5):
+def fit_forest(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 5, dictionary: tuple[str, ...] = DICTIONARY):
     """A random forest over NAMES from labelled findings (value, before, after, path, label)."""
     from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(vectors(findings, dictionary))
+
+
+def vectors(findings: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
+    """label, NAMES and all of them as one vector ``features``. Null texts and paths count as empty."""
     from pyspark.ml.feature import VectorAssembler
 
-    columns = features(*(F.col(c) for c in ("value", "before", "after", "path")))
+    columns = features(*(F.coalesce(F.col(c), F.lit("")) for c in ("value", "before", "after", "path")), dictionary)
     known = findings.select("label", *(c.alias(n) for c, n in zip(columns, NAMES, strict=True)))
-    vectors = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(known)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(vectors)
+    return VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(known)
+
+
+def held_out_quality(findings: DataFrame, one_in: int = 4, cut: float = 0.5, dictionary: tuple[str, ...] = DICTIONARY) -> dict[str, float]:
+    """Precision and recall on the findings whose value's hash falls to one part ``one_in``, by a forest of all others."""
+    held = F.pmod(F.xxhash64("value"), F.lit(one_in)) == 0
+    model = fit_forest(findings.filter(~held), dictionary=dictionary)
+    scored = vectors(findings.filter(held), dictionary).select(F.col("label") > 0.5, forest_expression(model) >= cut).toDF("real", "said")
+    n = {(r["real"], r["said"]): r["count"] for r in scored.groupBy("real", "said").count().collect()}
+    right, wrong, missed = (n.get(k, 0) for k in ((True, True), (False, True), (True, False)))
+    return {"precision": right / max(1, right + wrong), "recall": right / max(1, right + missed), "held_out": sum(n.values())}
 
 
 def forest_expression(model) -> Column:
@@ -159,16 +178,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = [F.contains("t", F.lit(h)) for h in HINTS] + [F.contains(low, F.lit(h)) for h in ("key", "secret", "token", "passw", "passphrase", "pwd", "credential")]
     rows = rows.filter(F.expr("true") & _any(some) & F.col("t").rlike(ANY))
     found = rows.withColumn("m", F.regexp_extract_all("t", F.lit(f"({ANY})"), 1)).withColumn("gaps", F.split("t", ANY, -1))
-    # A match starts behind all earlier matches and gaps.
-    starts = F.expr("transform(sequence(0, size(m) - 1), i -> struct(i AS i, aggregate(slice(gaps, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + length(x)) AS at, m[i] AS hit))")
-    found = found.withColumn("x", F.explode(starts)).select("doc_id", "path", "t", F.col("x.at").alias("at"), F.col("x.hit").alias("hit"))
+    # A match starts behind all earlier matches and gaps; what stands around it is cut out before rows multiply.
+    at = F.expr("aggregate(sequence(0, size(m) - 1), named_struct('pos', 0, 'at', cast(array() AS array<int>)), (a, i) -> named_struct('pos', a.pos + length(gaps[i]) + length(m[i]), 'at', array_append(a.at, a.pos + length(gaps[i]))), a -> a.at)")
+    around = F.expr(f"transform(at, (p, i) -> named_struct('at', p, 'hit', m[i], 'left', substring(t, greatest(p - {near - 1}, 1), least(p, {near})), 'after', substring(t, p + length(m[i]) + 1, {near})))")
+    found = found.withColumn("at", at).select("doc_id", "path", F.explode(around).alias("x")).select("doc_id", "path", "x.*")
     lead = F.regexp_extract("hit", rf"""^{KEY}["']?""", 0)
     kind = F.coalesce(*(F.when(F.col("hit").rlike(f"^(?:{p})"), k) for k, p in PATTERNS.items() if k != "assignment"), F.lit("assignment"))
     found = found.withColumn("lead", lead).withColumn("kind", kind)
-    start = F.col("at") + F.length("lead")
-    before = F.substring("t", F.greatest(start - near + 1, F.lit(1)), F.least(start, F.lit(near)))
-    value = F.substring("hit", F.length("lead") + 1, F.length("hit"))
-    return found.select("doc_id", start.alias("start"), "kind", value.alias("value"), before.alias("before"), F.substring("t", start + F.length(value) + 1, F.lit(near)).alias("after"), "path")
+    before = F.right(F.concat("left", "lead"), F.lit(near))
+    return found.select("doc_id", (F.col("at") + F.length("lead")).alias("start"), "kind", F.substring("hit", F.length("lead") + 1, F.length("hit")).alias("value"), before.alias("before"), "after", "path")
 
 
 def _any(columns: list[Column]) -> Column:
@@ -178,17 +196,18 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
-def secrets(docs: DataFrame, findings: DataFrame | None = None, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def secrets(docs: DataFrame, findings: DataFrame | None = None, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
     """One row per candidate: doc_id, start (characters before the value), kind, value, length, score, secret (score >= cut).
 
-    Null or empty texts give no rows; repeated rows give their findings each; a null path is an empty one. Several
-    matches of a text are found from left to right and don't overlap.
+    ``findings``: labelled findings to learn from (value, before, after, path, label), ``labelled_findings`` if none are
+    given. Null or empty texts give no rows; repeated rows give their findings each; a null path is an empty one; very long
+    texts are searched whole. Several matches of a text are found from left to right and don't overlap; where several
+    patterns start at one place, the first of PATTERNS names the kind.
     """
-    model = fit_forest(findings if findings is not None else labelled_findings(docs.sparkSession))
+    model = fit_forest(findings if findings is not None else labelled_findings(docs.sparkSession), dictionary=dictionary)
     found = candidates(docs, id_col, text_col, path_col)
-    columns = features(*(F.col(c) for c in ("value", "before", "after", "path")))
+    columns = features(*(F.col(c) for c in ("value", "before", "after", "path")), dictionary)
     found = found.select("doc_id", "start", "kind", "value", *(c.alias(n) for c, n in zip(columns, NAMES, strict=True)))
-    # Broad joins of whole texts never happen here; what is left are short rows, dealt evenly whatever document they come from.
     return found.select("doc_id", "start", "kind", "value", F.col("length").cast("int").alias("length"), F.round(forest_expression(model), 6).alias("score")).withColumn("secret", F.col("score") >= cut)
 
 

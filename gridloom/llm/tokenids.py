@@ -3,7 +3,8 @@
 Encoding a text piece by piece
     Texts repeat their words. A tokenizer whose pre-tokenizer never joins what stands on both sides of a blank gives
     the same ids for a text as for its blank-separated pieces, so each distinct piece is encoded once by the
-    tokenizers library and then looked up. Texts in which that isn't certain are encoded whole.
+    tokenizers library and then looked up. Texts in which that isn't certain are encoded whole. A Python process keeps
+    what it knows from one task of a run to the next, and drops it with the first task of another run or operator.
 
 File format (one file per range of document ids)
     ``magic | chunk | chunk | ... | index | int64 index offset | magic``. A chunk holds ``block`` ids: the block is
@@ -16,11 +17,11 @@ File format (one file per range of document ids)
 from __future__ import annotations
 
 import json
+import os
 import re
-import sys
+import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,102 +31,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .wordhash import range_hashes
 
 MAGIC = b"BPLANES1"
 _DOUBLE_BLANK = re.compile(r"\s\s")
-_WIDE_BLANKS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
 
 class PieceEncoder:
     """ids of whole texts by a tokenizer file, those of ``encode(text, add_special_tokens=False)``.
 
-    A piece is a line feed, or a run of other bytes up to the next blank or line feed, with the blank before it.
-    ``words``: the pre-tokenizer drops white space (a word vocabulary), so pieces never touch each other; else (byte-level
-    vocabularies) that holds only where no two white-space characters follow each other, and other texts are encoded
-    whole. Pieces are looked up by hash in a table of ``2**slots`` places, where a new one replaces what was there.
+    A piece is what stands between two blanks or line feeds, with the one before it. ``words``: the pre-tokenizer drops
+    white space (a word vocabulary), so pieces never touch each other; else (byte-level vocabularies) that holds only where
+    no two white-space characters follow each other, and other texts are encoded whole. Letters and a stop or comma behind
+    them never touch either. Pieces are looked up by their own bytes, never by a hash. About ``2 * most`` are known at a
+    time, none longer than ``longest`` bytes: when the younger half is full, it becomes the older one, whose pieces come
+    back as they are met again.
     """
 
-    def __init__(self, path: str, words: bool, slots: int = 22, pool: int = 16_000_000, longest: int = 4_000_000):
+    def __init__(self, path: str, words: bool, most: int = 1 << 19, longest: int = 64, slice_: int = 1_000_000):
+        # A task has its core for itself; the library's threads would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.most, self.longest = Tokenizer.from_file(path), words, pool, longest
-        self.mask = np.uint64((1 << slots) - 1)
-        self.key, self.at, self.n = (np.zeros(1 << slots, t) for t in (np.uint64, np.int32, np.uint16))
-        self.pool, self.used = np.zeros(1 << 16, "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"), 0
+        self.tokenizer, self.words, self.most, self.longest, self.slice = Tokenizer.from_file(path), words, most, longest, slice_
+        # In a joined text the ids show where a piece of letters begins (byte-level: by its blank) or ends (word ends).
+        names = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.edge[[i for name, i in names.items() if (name.endswith("</w>") if words else name.startswith(("\u0120", "\u010a")))]] = True
+        self.stops = {c: self._library([c.decode()])[0] for c in (b".", b",")}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
-    def shared(cls, path: str, words: bool, slots: int = 22) -> PieceEncoder:
-        """The encoder of this Python process: what one task has encoded the next one knows."""
-        held = sys.__dict__.setdefault("_gridloom_encoders", {})
-        if (path, words, slots) not in held:
-            held[path, words, slots] = cls(path, words, slots, pool=4 << slots)
-        return held[path, words, slots]
-
-    def _add(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), self.pool.dtype)])
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.pool.dtype, total)
-        at = self.used + np.cumsum(n) - n
-        self.used += total
-        return at, n
-
-    def _library(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-
-    def _whole(self, docs: list[bytes]) -> list[int]:
-        """Places of the documents that can't be encoded piece by piece."""
-        found = {i for i, d in enumerate(docs) if len(d) > self.longest}
-        if not self.words:
-            blank = np.zeros(256, bool)
-            blank[[*range(9, 14), *range(28, 32), 32]] = True
-            blob = b"\xff".join(docs)
-            b = blank[np.frombuffer(blob, np.uint8)]
-            begin = np.cumsum([0, *(len(d) + 1 for d in docs)])
-            found |= set((np.searchsorted(begin, np.flatnonzero(b[1:] & b[:-1]), side="right") - 1).tolist())
-            if any(w in blob for w in _WIDE_BLANKS):
-                found |= {i for i, d in enumerate(docs) if any(w in d for w in _WIDE_BLANKS) and _DOUBLE_BLANK.search(d.decode())}
-        return sorted(found)
+    def of_run(cls, run: str, path: str, words: bool, most: int = 1 << 19) -> PieceEncoder:
+        """The encoder of this Python process in a run: empty at the run's start."""
+        if run not in common.held:
+            common.held.clear()
+            common.held[run] = cls(path, words, most)
+        return common.held[run]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, pieces: list[bytes], letters: list[bool]) -> list[bytes]:
+        """The ids of pieces: in one call for those of letters, in another for the rest."""
+        texts = [(p if p[:1] == b"\n" else b" " + p).decode() for p in pieces]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [k for k, x in enumerate(letters) if x]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts[k] for k in plain)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.edge[ids]) + self.words
+        if len(at) != len(plain):
+            plain, letters = [], [False] * len(texts)
+        cuts, data = (4 * (np.append(0, at) if self.words else np.append(at, len(ids)))).tolist(), ids.tobytes()
+        for k, a, b in zip(plain, cuts[:-1], cuts[1:], strict=bool(plain)):
+            out[k] = data[a:b]
+        rest = [k for k, x in enumerate(letters) if not x]
+        for k, x in zip(rest, self._library([texts[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
+
+    def _learn(self, need: set[bytes]) -> tuple[set[bytes], list[bytes]]:
+        """The younger half gets all of ``need`` but pieces whose white space could touch a blank: those, and the too long ones."""
+        missing = need.difference(self.young)
+        if len(self.young) + len(missing) > self.most and self.young:
+            self.old, self.young, missing = self.young, {}, need
+        again = missing.intersection(self.old) if self.old else set()
+        self.young.update((p, self.old[p]) for p in again)
+        risky, new, letters, later = set(), [], [], []
+        for p in missing - again:
+            core = p[:-1] if p[-1:] in self.stops else p
+            text = core.decode()
+            alpha = (text[1:] if text[:1] == "\n" else text).isalpha() and (not self.words or text.isascii() or text.lower().isalpha())
+            if alpha and len(core) < len(p):
+                later.append(p)
+                if core in self.young or core in need:
+                    continue
+            elif not self.words and not alpha and _touches(p.decode()):
+                risky.add(p)
+                continue
+            new.append(core if alpha else p)
+            letters.append(alpha)
+        if new:
+            self.young.update(zip(new, self._encoded(new, letters), strict=True))
+        for p in later:
+            self.young[p] = self.young[p[:-1]] + self.stops[p[-1:]]
+        return risky, [p for p in (*new, *later) if len(p) > self.longest]
 
     def encode(self, docs: list[bytes]) -> list[np.ndarray]:
         """The ids of each document (UTF-8)."""
-        whole = self._whole(docs)
-        by_library = dict(zip(whole, self._library([docs[i] for i in whole]), strict=True)) if whole else {}
-        if self.used > self.most:
-            self.key[:], self.used = 0, 0
-        blob = b"\xff" + b"\xff".join(b"" if i in by_library else d for i, d in enumerate(docs))
-        data = np.frombuffer(blob, np.uint8)
-        cut = np.zeros(256, bool)
-        cut[[0x0A, 0xFF]] = True
-        after = cut[data]
-        cut[0x20] = True
-        new = cut[data]
-        new[1:] |= after[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(data))
-        real = data[starts] != 0xFF
-        doc_at = np.flatnonzero(~real)
-        keys = range_hashes(data, starts, ends)
-        keys[keys == 0] = 1
-        slot = (keys & self.mask).astype(np.int64)
-        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
-        n[~real] = 0
-        missing = np.flatnonzero((self.key[slot] != keys) & real)
-        if len(missing):
-            _, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            lead = missing[first]
-            got_at, got_n = self._add(self._library([blob[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist(), strict=True)]))
-            at[missing], n[missing] = got_at[back], got_n[back]
-            short = got_n < 1 << 16
-            lead, got_at, got_n = lead[short], got_at[short], got_n[short]
-            self.at[slot[lead]], self.n[slot[lead]], self.key[slot[lead]] = got_at, got_n, keys[lead]
-            # of pieces that share a place the last one written stays, in all three arrays alike
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])].astype("<u4")
-        bounds = total[np.append(doc_at, len(starts))].tolist()
-        return [np.array(by_library[i], "<u4") if i in by_library else ids[bounds[i] : bounds[i + 1]] for i in range(len(docs))]
+        out: list[list[bytes]] = [[] for _ in docs]
+        parts, first = [], []
+        for i, d in enumerate(docs):
+            at = 0
+            while at < len(d):  # a slice ends before a blank
+                end = d.find(b" ", at + self.slice)
+                end = len(d) if end < 0 else end
+                parts.append((i, d[at:end].replace(b"\n", b" \n").split(b" ")))
+                # What stands before the first blank has none; before the first blank of a later slice there is nothing.
+                first.append(parts[-1][1].pop(0))
+                at = end
+        risky, long = self._learn(set().union(*(p for _, p in parts)))
+        touches = [not self.words and _touches(x.decode()) for x in first]
+        whole = {i for (i, pieces), t in zip(parts, touches, strict=True) if t or risky and not risky.isdisjoint(pieces)}
+        leads = [p for p in dict.fromkeys(first) if p]
+        starts = dict(zip(leads, self._library([p.decode() for p in leads]), strict=True)) | {b"": b""}
+        get = self.young.__getitem__
+        for (i, pieces), lead in zip(parts, first, strict=True):
+            if i not in whole:
+                out[i].append(starts[lead])
+                out[i] += map(get, pieces)
+        for i in whole:
+            out[i] = self._library([docs[i].decode()])
+        for p in long:
+            self.young.pop(p, None)
+        return [np.frombuffer(b"".join(x), "<u4") for x in out]
+
+
+def _touches(piece: str) -> bool:
+    """Whether white space in a piece follows other white space, or could follow or stand before a blank."""
+    inner = piece[1:] if piece[:1] == "\n" else piece
+    return not inner or inner[0].isspace() or inner[-1].isspace() or bool(_DOUBLE_BLANK.search(inner))
 
 
 def pack_block(ids: np.ndarray, width: int) -> list[bytes]:
@@ -224,16 +248,29 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", width: int = 2, block: int = 16_384) -> DataFrame:
+def id_width(tokenizer: str, end_id: int, width: int | None = None) -> int:
+    """Bytes an id takes: as many as the vocabulary and ``end_id`` need. A ``width`` that is too narrow is refused."""
+    from tokenizers import Tokenizer
+
+    least = next(w for w in (1, 2, 3, 4) if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id) < 256**w)
+    if width is not None and not least <= width <= 4:
+        raise ValueError(f"ids of this vocabulary take {least} bytes, not {width}")
+    return width or least
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, block: int = 16_384) -> DataFrame:
     """Encodes every whole text, appends ``end_id`` and writes the ids in ascending order of ``id_col`` to plane files.
 
     Returns the manifest, one row per file that a finished task wrote: part, path, docs, ids. Files of attempts that
     failed are in no manifest. A null text counts as empty; rows without an id come first; rows that share an id all
-    stay, in the order of their texts; an empty table gives no files. ``width``: bytes an id (2 up to 65,536 ids).
+    stay, in the order of a hash of their texts, and may stand in several files; very long texts are encoded slice by
+    slice; an empty table gives no files. ``width``: bytes an id, as many as the vocabulary needs if not given.
     """
-    spark = docs.sparkSession
+    spark, width, run = docs.sparkSession, id_width(tokenizer, end_id, width), uuid.uuid4().hex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text"))
-    rows = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash and the row's number let rows that share an id go to several files.
+    rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(common.partitions(spark), "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "text")
 
     def write(batches):
         ctx = TaskContext.get()
@@ -241,7 +278,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         path = f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.planes"
         for batch in batches:
             for ids, texts in common.text_slices(batch.column(0), batch.column(1)):
-                encoder = encoder or PieceEncoder.shared(tokenizer, words=False)
+                encoder = encoder or PieceEncoder.of_run(run, tokenizer, words=False)
                 writer = writer or PlaneWriter(path, width, block)
                 for doc, got in zip(ids, encoder.encode(texts), strict=True):
                     writer.add(doc, np.append(got, np.uint32(end_id)))
@@ -249,7 +286,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([ctx.partitionId()], pa.int32()), "path": [path], "docs": pa.array([len(writer.docs)], pa.int64()), "ids": pa.array([sum(writer.lengths)], pa.int64())})
 
-    return common.keep(common.mapped(rows, write, "part int, path string, docs long, ids long", encodes=True), "manifest")
+    return common.keep(common.mapped(rows, write, "part int, path string, docs long, ids long", run), "manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -10,16 +10,36 @@ from pyspark.sql import functions as F
 
 from . import common
 
-STRICT, SOFT = ("casino", "porn", "xxx", "cheap-pills", "spam-farm", "malware"), ("adult", "ads", "bets", "cheap", "free", "pills", "spam", "track", "viagra", "win", "loan", "bonus")
+#: General terms; a site's own list comes from a file (``Vocabulary.load``).
+STRICT = ("casino", "cracked", "escort", "hentai", "keygen", "malware", "phishing", "poker", "porn", "porno", "roulette", "sportsbook", "torrent", "viagra", "warez", "xxx")
+SOFT = ("ad", "ads", "adult", "affiliate", "bet", "bets", "bonus", "buy", "cheap", "click", "coupon", "crypto", "deal", "deals", "download", "farm", "free", "girls", "hot", "loan", "loans", "offer", "pills", "popup", "prize", "promo", "redirect", "sex", "spam", "sponsored", "survey", "track", "tracker", "unsubscribe", "win", "winner")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A URL is rejected on one strict term or ``most`` distinct soft terms, each between characters that are no letters or digits."""
+    """Terms and their weights. A URL is rejected when the weights of its distinct terms reach ``limit``.
+
+    A strict term weighs ``limit`` by itself. Soft terms weigh 1 unless ``weights`` says otherwise, so with the limit of 2
+    two distinct ones are needed. Terms count between characters that are no letters or digits.
+    """
 
     strict: tuple[str, ...] = STRICT
     soft: tuple[str, ...] = SOFT
-    most: int = 2
+    weights: tuple[tuple[str, float], ...] = ()
+    limit: float = 2.0
+
+    @classmethod
+    def load(cls, path: str, limit: float = 2.0) -> Vocabulary:
+        """From a text file: a term a line, then ``strict`` or a weight after a tab (1 if there is none); # starts a comment."""
+        strict, weights = [], {}
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                term, _, kind = line.split("#")[0].strip().partition("\t")
+                if term and kind.strip() == "strict":
+                    strict.append(term.lower())
+                elif term:
+                    weights[term.lower()] = float(kind.strip() or 1)
+        return cls(tuple(strict), tuple(weights), tuple(weights.items()), limit)
 
 
 def parts(url: str | None) -> tuple[str, str]:
@@ -42,11 +62,12 @@ class Judge:
         self.by_host: dict[str, list[tuple[str, str, str]]] = {}
         for action, host, path in rules:
             self.by_host.setdefault(host, []).append((action, path, host + path))
-        self.most = vocabulary.most
+        self.limit, self.weights = vocabulary.limit, dict(vocabulary.weights)
         self.automaton = ahocorasick.Automaton()
         for term, strict in (*((t, False) for t in vocabulary.soft), *((t, True) for t in vocabulary.strict)):
             self.automaton.add_word(term, (term, strict))
-        self.automaton.make_automaton()
+        if len(self.automaton):
+            self.automaton.make_automaton()
 
     def rule(self, host: str, path: str) -> tuple[str, str] | None:
         labels, fits = host.split("."), []
@@ -55,21 +76,22 @@ class Judge:
         best = max(fits, key=lambda r: (len(r[2]), r[0] == "block"), default=None)
         return (best[2], best[0]) if best else None
 
-    def terms(self, url: str) -> tuple[int, int]:
-        """Distinct strict and soft terms of the URL, without case, at word boundaries."""
+    def terms(self, url: str) -> tuple[set[str], set[str]]:
+        """Distinct soft and strict terms of the URL, without case, at word boundaries."""
         low, found = url.encode().lower().decode(), (set(), set())
-        for end, (term, strict) in self.automaton.iter(low):
+        for end, (term, strict) in self.automaton.iter(low) if len(self.automaton) else ():
             start = end - len(term) + 1
             if (start == 0 or not _inside(low[start - 1])) and (end + 1 == len(low) or not _inside(low[end + 1])):
                 found[strict].add(term)
-        return len(found[True]), len(found[False])
+        return found
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int, int]:
         host, path = parts(url)
-        strict, soft = self.terms(url or "")
+        soft, strict = self.terms(url or "")
         rule = self.rule(host, path)
-        verdict = rule[1] if rule else "block" if strict or soft >= self.most else "allow"
-        return host, path, rule[0] if rule else None, verdict, strict, soft
+        rejected = strict or sum(self.weights.get(t, 1.0) for t in soft) >= self.limit
+        verdict = rule[1] if rule else "block" if rejected else "allow"
+        return host, path, rule[0] if rule else None, verdict, len(strict), len(soft)
 
 
 def _inside(c: str) -> bool:
@@ -79,8 +101,9 @@ def _inside(c: str) -> bool:
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], vocabulary: Vocabulary | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, strict_terms, soft_terms.
 
-    A null URL has empty parts, no rule and no terms, so it is allowed. Repeated rows are judged each for itself; an
-    empty table gives no rows. Rules and vocabulary are parameters; only id and URL are read.
+    A null URL has empty parts, no rule and no terms, so it is allowed. Of rules as long as each other that fit, block
+    wins. Repeated rows are judged each for itself; very long URLs are read whole; an empty table gives no rows. Rules and
+    vocabulary are parameters; only id and URL are read, so other columns can have any name.
     """
     vocabulary = vocabulary or Vocabulary()
 
@@ -120,7 +143,7 @@ WITH rest AS (
   SELECT page_id, host, path, CASE {fits} END AS rule, CAST({hits(STRICT)} AS INTEGER) AS strict_terms, CAST({hits(SOFT)} AS INTEGER) AS soft_terms FROM cut
 )
 SELECT page_id, host, path, rule, strict_terms, soft_terms,
-  CASE rule {acts} ELSE CASE WHEN strict_terms > 0 OR soft_terms >= {Vocabulary().most} THEN 'block' ELSE 'allow' END END AS verdict
+  CASE rule {acts} ELSE CASE WHEN strict_terms > 0 OR soft_terms >= {Vocabulary().limit} THEN 'block' ELSE 'allow' END END AS verdict
 FROM seen
 """
 

@@ -47,38 +47,49 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def duplicates(pages: DataFrame, least: int, id_col: str, html_col: str) -> DataFrame:
-    """digest, size, keeper: of payloads of at least ``least`` bytes that occur more than once."""
+def revisits(pages: DataFrame, least: int, id_col: str, html_col: str, salts: int = 16) -> DataFrame:
+    """page_id, sha, size, keeper of rows whose payload, of at least ``least`` bytes, another row with a larger id has too.
+
+    Only ids, sizes and SHA-256 move. Groups of equal payloads are summed up before the shuffle, and the join that brings
+    a group's keeper to its rows deals the rows of a group to ``salts`` tasks, so a payload that a third of all pages
+    share is in no single task.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    known = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    return known.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    known = pages.select(F.col(id_col).cast("long").alias("page_id"), html.alias("html")).filter(F.octet_length("html") >= least)
+    known = known.select("page_id", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("long").alias("size"))
+    known = common.keep(known, "payloads")
+    groups = known.groupBy("sha", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1 AND keeper IS NOT NULL").drop("n")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = known.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return rows.join(groups, ["sha", "size", "salt"]).filter("NOT page_id <=> keeper").select("page_id", "sha", "size", "keeper").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record per row and returns the index (see INDEX), which is itself a table in the shared folder.
 
-    Of rows with equal payloads of at least ``least`` bytes the one with the largest id is a response and the others are
-    revisits that refer to it; of repeated rows with that id each is a response. A null html is an empty payload; a null URL an empty
-    target; a null id can't be referred to and never keeps others. An empty table gives an empty index and no files.
+    Of rows with equal payloads (SHA-256 and size) of at least ``least`` bytes the one with the largest id is a response
+    and the others are revisits that refer to it; of repeated rows with that id each is a response. A null html is an
+    empty payload; a null URL an empty target; a row with a null id can be a revisit, but is never referred to. Very long
+    payloads are written whole, one at a time. An empty table gives an empty index and no files.
     """
-    keepers = common.keep(duplicates(pages.filter(F.col(id_col).isNotNull()), least, id_col, html_col), "keepers")
+    marks = common.keep(revisits(pages, least, id_col, html_col), "revisits").select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), F.col("size").alias("_size"), "keeper")
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    # Payloads never move: the few repeated digests come to the rows. Spark broadcasts them if their size allows it.
-    rows = rows.join(keepers.withColumnRenamed("digest", "_digest").withColumnRenamed("size", "_size"), (F.col("digest") == F.col("_digest")) & (F.octet_length("html") == F.col("_size")), "left")
-    rows = rows.select("page_id", "url", "html", "digest", "keeper")
+    # A row's mark is found by its id, so no digest deals out payloads. Spark broadcasts the marks if their size allows it;
+    # else payloads move once, by id. The digests tell rows apart that share an id.
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.octet_length("html") == F.col("_size")) & (F.sha2("html", 256) == F.col("_sha"))
+    rows = rows.join(marks, same, "left").select("page_id", "url", "html", "keeper")
 
     def write(batches):
         ctx, out, at, file = TaskContext.get(), None, 0, ""
         for batch in batches:
             for start, htmls in common.text_slices(pa.array(range(batch.num_rows)), batch.column(2)):
                 part, index = batch.slice(start[0], len(htmls)), []
-                for page, url, digest, keeper, payload in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4)), htmls, strict=True):
+                for page, url, refers, payload in zip(*(part.column(i).to_pylist() for i in (0, 1, 3)), htmls, strict=True):
                     if out is None:
                         file = f"{folder}/part-{ctx.partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz"
                         out = common.open_write(file)
-                    refers = keeper if keeper is not None and keeper != page else None
+                    digest = hashlib.sha1(payload).hexdigest()
                     kind = "response" if refers is None else "revisit"
                     data = record(kind, page, url, payload, digest, refers)
                     out.write(data)

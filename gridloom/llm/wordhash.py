@@ -1,31 +1,16 @@
-"""Hashes of many byte ranges of a text at once (numpy), and sets of word shingles.
+"""Hashes of words and of word shingles, for many documents at once.
 
-The hash of a range is the sum of T[byte] * B**(place in the range), modulo 2**64 and then mixed, with a fixed random
-table T and an odd B: it is had for every range from one product and one running sum over the whole block, whatever
-the ranges' number. Tables are made from a fixed seed, so hashes agree between tasks and runs.
+A word's hash is the 128-bit xxh3 of its bytes, in two lanes of 64 bits; words that differ are told apart by their bytes
+before they are hashed, once for each distinct word. A shingle's lanes are sums of its words' lanes times a fixed odd
+factor for each place, mixed.
 """
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
+import xxhash
 
-_B, _SEED = 0x9E3779B97F4A7C13, 20_240_229
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """T, powers of B and of its inverse for n places; kept in the Python process."""
-    held = sys.__dict__.setdefault("_gridloom_wordhash", {})
-    if "t" not in held:
-        held["t"] = np.random.default_rng(_SEED).integers(1, 2**64, 256, dtype=np.uint64)
-    if len(held.get("p", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("p", _B), ("q", pow(_B, -1, 2**64))):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            held[name] = np.multiply.accumulate(a)
-    return held["t"], held["p"], held["q"]
+_FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,49 +20,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[starts[i]:ends[i]] for ascending ranges that don't overlap."""
-    t, p, q = _tables(len(data) + 1)
-    s = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(t[data] * p[: len(data)], out=s[1:])
-    return mix((s[ends] - s[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+class Places(dict):
+    """Words' numbers in the order of their first use."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
 
 
-def blank_table() -> np.ndarray:
-    """True for the bytes that separate words: blank, tab, line feed, vertical tab, form feed, carriage return."""
-    t = np.zeros(256, bool)
-    t[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-    return t
+def split_words(doc: bytes, lower: bool = True, delete: bytes = b"") -> list[bytes]:
+    """Words between ASCII white space; A to Z lower-cased; the bytes of ``delete`` are taken out before."""
+    if delete:
+        doc = doc.translate(None, delete)
+    return (doc.lower() if lower else doc).split()
 
 
 class Words:
-    """Word hashes of several documents. ``first[j]`` to ``first[j + 1]``: document j's words; starts, ends: in ``data``."""
+    """Word hashes of several documents: lanes 0 and 1. ``first[j]`` to ``first[j + 1]`` are document j's words."""
 
     def __init__(self, docs: list[bytes], lower: bool = True, delete: bytes = b""):
-        blob = b" ".join(docs) + b" "
-        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        if delete:
-            gone = np.zeros(256, bool)
-            gone[list(delete)] = True
-            left = np.concatenate([[0], np.cumsum(~gone[np.frombuffer(blob, np.uint8)])])
-            begin, blob = left[begin], blob.translate(None, delete)
-        if lower:
-            blob = blob.lower()  # of bytes: A to Z only
-        self.data = np.frombuffer(blob, np.uint8)
-        blank = np.concatenate([[True], blank_table()[self.data]])
-        turn = np.flatnonzero(blank[1:] != blank[:-1])
-        self.starts, self.ends = turn[::2], turn[1::2]
-        self.hashes = range_hashes(self.data, self.starts, self.ends)
-        self.first = np.searchsorted(self.starts, begin)
-
-    def shingles(self, k: int) -> list[np.ndarray]:
+        places, parts, first = Places(), [], [0]
+        for d in docs:
+            words = split_words(d, lower, delete)
+            parts.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            first.append(first[-1] + len(words))
+        self.first = np.array(first, np.int64)
+        at = np.concatenate([np.zeros(0, np.int32), *parts])
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, places)), "<u8").reshape(-1, 2)
+        self.lanes = tuple(np.ascontiguousarray(digests[:, k])[at] for k in (0, 1))
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.lanes[0]
+
+    def shingles(self, k: int, lane: int = 0) -> list[np.ndarray]:
         """Each document's hashes of its runs of k words, in order; of the whole sequence if it has fewer words."""
-        w = self.hashes
+        w, factor = self.lanes[lane], _FACTORS[lane]
         n = max(0, len(w) - k + 1)
         h = np.zeros(n, np.uint64)
         for i in range(k):
-            h += w[i : i + n] * np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 2**64))
+            h += w[i : i + n] * np.uint64(pow(factor, i + 1, 2**64))
         h = mix(h)
         out = []
         for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
@@ -86,8 +68,26 @@ class Words:
             elif b > a:
                 x = np.zeros(1, np.uint64)
                 for i in range(a, b):
-                    x += w[i : i + 1] * np.uint64(pow(0xD6E8FEB86659FD93, i - a + 1, 2**64))
+                    x += w[i : i + 1] * np.uint64(pow(factor, i - a + 1, 2**64))
                 out.append(mix(x + np.uint64(b - a)))
             else:
                 out.append(h[:0])
         return out
+
+
+def shingle_sets(docs: list[bytes], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each document's set of shingles: both lanes, in the order of the first."""
+    words, out = Words(docs), []
+    for a, b in zip(words.shingles(k), words.shingles(k, 1), strict=True):
+        o = np.argsort(a)
+        a, b = a[o], b[o]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        out.append((a[new], b[new]))
+    return out
+
+
+def common_shingles(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles that both sets have, equal in both lanes."""
+    at = np.minimum(np.searchsorted(y[0], x[0]), max(0, len(y[0]) - 1))
+    return int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum()) if len(y[0]) else 0

@@ -66,7 +66,7 @@ def test_jaccard_components(spark):
 @pytest.mark.parametrize("name,words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_pieces_give_the_librarys_ids(name, words):
     P = pytest.importorskip("public_tokenizers")
-    e = tokenids.PieceEncoder(P.path(name), words, slots=4)
+    e = tokenids.PieceEncoder(P.path(name), words, most=8)
     texts = [t or "" for _, t in ODD] + ["a\nb c", " lead", "trail ", "\n", "don't  stop", "ÄB ñ, “q” — x"]
     assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -86,7 +86,7 @@ def test_token_files(spark, tmp_path):
 def test_packing(spark):
     P = pytest.importorskip("public_tokenizers")
     rows = [*ODD, (9, "word " * 900)]
-    got = packing.pack_documents(docs(spark, rows), lambda: tokenids.PieceEncoder(P.path("word_bpe_49k.json"), True, slots=6), capacity=128, open_bins=4).toPandas()
+    got = packing.pack_documents(docs(spark, rows), lambda: tokenids.PieceEncoder(P.path("word_bpe_49k.json"), True, most=8), capacity=128, open_bins=4).toPandas()
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *(g.offset + g.length).tolist()[:-1]] and g.length.sum() <= 128
     assert (got[got.doc_id == 9].sort_values("piece").length.tolist()) == [128] * 7 + [5]
