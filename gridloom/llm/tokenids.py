@@ -57,7 +57,7 @@ class PieceEncoder:
         names = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(names.values(), default=0) + 1, bool)
         self.edge[[i for name, i in names.items() if (name.endswith("</w>") if words else name.startswith(("\u0120", "\u010a")))]] = True
-        self.stops = {c: self._library([c.decode()])[0] for c in (b".", b",")}
+        self.stops = {c: self._library([c])[0] for c in ".,"}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -72,12 +72,12 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, pieces: list[bytes], letters: list[bool]) -> list[bytes]:
+    def _encoded(self, texts: list[str], letters: list[bool]) -> list[bytes]:
         """The ids of pieces: in one call for those of letters, in another for the rest."""
-        texts = [(p if p[:1] == b"\n" else b" " + p).decode() for p in pieces]
+        texts = [t if t[:1] == "\n" else " " + t for t in texts]
         out: list[bytes] = [b""] * len(texts)
         plain = [k for k, x in enumerate(letters) if x]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts[k] for k in plain)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.edge[ids]) + self.words
         if len(at) != len(plain):
             plain, letters = [], [False] * len(texts)
@@ -89,31 +89,35 @@ class PieceEncoder:
             out[k] = x
         return out
 
-    def _learn(self, need: set[bytes]) -> tuple[set[bytes], list[bytes]]:
-        """The younger half gets all of ``need`` but pieces whose white space could touch a blank: those, and the too long ones."""
-        missing = need.difference(self.young)
-        if len(self.young) + len(missing) > self.most and self.young:
-            self.old, self.young, missing = self.young, {}, need
-        again = missing.intersection(self.old) if self.old else set()
-        self.young.update((p, self.old[p]) for p in again)
-        risky, new, letters, later = set(), [], [], []
-        for p in missing - again:
-            core = p[:-1] if p[-1:] in self.stops else p
-            text = core.decode()
-            alpha = (text[1:] if text[:1] == "\n" else text).isalpha() and (not self.words or text.isascii() or text.lower().isalpha())
-            if alpha and len(core) < len(p):
+    def _learn(self, missing: set[bytes]) -> tuple[set[bytes], list[bytes]]:
+        """The younger half gets all of ``missing`` but pieces whose white space could touch a blank: those, and the too long ones."""
+        again = self.old.keys() & missing
+        self.young.update([(p, self.old[p]) for p in again])
+        pieces = list(missing - again)
+        decoded = b"\0".join(pieces).decode().split("\0")
+        if len(decoded) != len(pieces):
+            decoded = [p.decode() for p in pieces]
+        risky, new, texts, letters, later = set(), [], [], [], []
+        for p, text in zip(pieces, decoded, strict=True):
+            stopped = text[-1:] in self.stops
+            core = text[:-1] if stopped else text
+            word = core[1:] if core[:1] == "\n" else core
+            alpha = word.isalpha() and (not self.words or word.isascii() or word.lower().isalpha())
+            if alpha and stopped:
                 later.append(p)
-                if core in self.young or core in need:
+                p, text = p[:-1], core
+                if p in self.young or p in missing:
                     continue
-            elif not self.words and not alpha and _touches(p.decode()):
+            elif not alpha and not self.words and _touches(text):
                 risky.add(p)
                 continue
-            new.append(core if alpha else p)
+            new.append(p)
+            texts.append(text)
             letters.append(alpha)
         if new:
-            self.young.update(zip(new, self._encoded(new, letters), strict=True))
+            self.young.update(zip(new, self._encoded(texts, letters), strict=True))
         for p in later:
-            self.young[p] = self.young[p[:-1]] + self.stops[p[-1:]]
+            self.young[p] = self.young[p[:-1]] + self.stops[p[-1:].decode()]
         return risky, [p for p in (*new, *later) if len(p) > self.longest]
 
     def encode(self, docs: list[bytes]) -> list[np.ndarray]:
@@ -129,20 +133,25 @@ class PieceEncoder:
                 # What stands before the first blank has none; before the first blank of a later slice there is nothing.
                 first.append(parts[-1][1].pop(0))
                 at = end
-        risky, long = self._learn(set().union(*(p for _, p in parts)))
+        found = [list(map(self.young.get, pieces)) for _, pieces in parts]
+        holes = [[k for k, x in enumerate(f) if x is None] for f in found]
+        risky, long = self._learn({pieces[k] for (_, pieces), hole in zip(parts, holes, strict=True) for k in hole})
         touches = [not self.words and _touches(x.decode()) for x in first]
-        whole = {i for (i, pieces), t in zip(parts, touches, strict=True) if t or risky and not risky.isdisjoint(pieces)}
+        whole = {i for (i, pieces), hole, t in zip(parts, holes, touches, strict=True) if t or risky and any(pieces[k] in risky for k in hole)}
         leads = [p for p in dict.fromkeys(first) if p]
         starts = dict(zip(leads, self._library([p.decode() for p in leads]), strict=True)) | {b"": b""}
-        get = self.young.__getitem__
-        for (i, pieces), lead in zip(parts, first, strict=True):
+        for (i, pieces), lead, ids, hole in zip(parts, first, found, holes, strict=True):
             if i not in whole:
+                for k in hole:
+                    ids[k] = self.young[pieces[k]]
                 out[i].append(starts[lead])
-                out[i] += map(get, pieces)
+                out[i] += ids
         for i in whole:
             out[i] = self._library([docs[i].decode()])
         for p in long:
             self.young.pop(p, None)
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
         return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
 
