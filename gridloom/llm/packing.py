@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .tokenids import PieceEncoder, crc
+from .tokenids import ENCODED_AT_ONCE, PieceEncoder, crc
 
 
 class BestFit:
@@ -78,7 +78,7 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id:
     def tokens(batches):
         base, packer, enc, waiting = common.task_row_base(), BestFit(capacity, open_bins), None, []
         for batch in batches:
-            for ids, texts in common.text_slices(batch.column(0), batch.column(1)):
+            for ids, texts in common.text_slices(batch.column(0), batch.column(1), ENCODED_AT_ONCE):
                 enc = enc or encoder()
                 for doc, got in zip(ids, enc.encode(texts), strict=True):
                     got = np.append(got, np.uint32(end_id)).astype("<u4")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC = b"BPLANES1"
+#: Bytes of text that are cut into pieces together: the more, the rarer a piece is looked up.
+ENCODED_AT_ONCE = 4_000_000
 _DOUBLE_BLANK = re.compile(r"\s\s")
 
 
@@ -121,38 +124,56 @@ class PieceEncoder:
         return risky, [p for p in (*new, *later) if len(p) > self.longest]
 
     def encode(self, docs: list[bytes]) -> list[np.ndarray]:
-        """The ids of each document (UTF-8)."""
-        out: list[list[bytes]] = [[] for _ in docs]
-        parts, first = [], []
+        """The ids of each document (UTF-8).
+
+        Arrow cuts the texts and numbers their distinct pieces, so the table is asked once for each of these; the ids
+        are then gathered by number.
+        """
+        of, leads, rests = [], [], []
         for i, d in enumerate(docs):
             at = 0
             while at < len(d):  # a slice ends before a blank
                 end = d.find(b" ", at + self.slice)
                 end = len(d) if end < 0 else end
-                parts.append((i, d[at:end].replace(b"\n", b" \n").split(b" ")))
                 # What stands before the first blank has none; before the first blank of a later slice there is nothing.
-                first.append(parts[-1][1].pop(0))
+                lead, blank, rest = d[at:end].replace(b"\n", b" \n").partition(b" ")
+                of.append(i)
+                leads.append(lead)
+                rests.append(rest if blank else None)
                 at = end
-        found = [list(map(self.young.get, pieces)) for _, pieces in parts]
-        holes = [[k for k, x in enumerate(f) if x is None] for f in found]
-        risky, long = self._learn({pieces[k] for (_, pieces), hole in zip(parts, holes, strict=True) for k in hole})
-        touches = [not self.words and _touches(x.decode()) for x in first]
-        whole = {i for (i, pieces), hole, t in zip(parts, holes, touches, strict=True) if t or risky and any(pieces[k] in risky for k in hole)}
-        leads = [p for p in dict.fromkeys(first) if p]
-        starts = dict(zip(leads, self._library([p.decode() for p in leads]), strict=True)) | {b"": b""}
-        for (i, pieces), lead, ids, hole in zip(parts, first, found, holes, strict=True):
+        lists = pc.split_pattern(pa.array(rests, pa.binary()), " ")
+        bounds, numbered = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        codes, pieces = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.young.get, pieces))
+        holes = [k for k, x in enumerate(ids) if x is None]
+        risky, long = self._learn({pieces[k] for k in holes})
+        for k in holes:
+            ids[k] = b"" if pieces[k] in risky else self.young[pieces[k]]
+        whole = {i for i, lead in zip(of, leads, strict=True) if not self.words and _touches(lead.decode())}
+        if risky:
+            hit = np.flatnonzero(np.isin(codes, [k for k in holes if pieces[k] in risky]))
+            whole |= {of[k] for k in set((np.searchsorted(bounds, hit, "right") - 1).tolist())}
+        starts = [x for x in dict.fromkeys(leads) if x]
+        first = {x: np.frombuffer(y, "<u4") for x, y in zip(starts, self._library([x.decode() for x in starts]), strict=True)} | {b"": _NONE}
+        known, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        gathered = known[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + counts, counts) + np.arange(counts.sum())]
+        cuts = np.append(0, ends)[bounds].tolist()
+        out: list[list[np.ndarray]] = [[] for _ in docs]
+        for i, lead, a, b in zip(of, leads, cuts[:-1], cuts[1:], strict=True):
             if i not in whole:
-                for k in hole:
-                    ids[k] = self.young[pieces[k]]
-                out[i].append(starts[lead])
-                out[i] += ids
+                out[i] += (first[lead], gathered[a:b])
         for i in whole:
-            out[i] = self._library([docs[i].decode()])
+            out[i] = [np.frombuffer(self._library([docs[i].decode()])[0], "<u4")]
         for p in long:
             self.young.pop(p, None)
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
-        return [np.frombuffer(b"".join(x), "<u4") for x in out]
+        return [np.concatenate(x) if x else _NONE for x in out]
+
+
+_NONE = np.zeros(0, "<u4")
 
 
 def _touches(piece: str) -> bool:
@@ -286,7 +307,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         encoder = writer = None
         path = f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.planes"
         for batch in batches:
-            for ids, texts in common.text_slices(batch.column(0), batch.column(1)):
+            for ids, texts in common.text_slices(batch.column(0), batch.column(1), ENCODED_AT_ONCE):
                 encoder = encoder or PieceEncoder.of_run(run, tokenizer, words=False)
                 writer = writer or PlaneWriter(path, width, block)
                 for doc, got in zip(ids, encoder.encode(texts), strict=True):
