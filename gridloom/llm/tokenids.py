@@ -36,6 +36,7 @@ from . import common
 MAGIC = b"BPLANES1"
 #: Bytes of text that are cut into pieces together: the more, the rarer a piece is looked up.
 ENCODED_AT_ONCE = 4_000_000
+_STOPS = (b".", b",")
 _DOUBLE_BLANK = re.compile(r"\s\s")
 
 
@@ -60,7 +61,7 @@ class PieceEncoder:
         names = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(names.values(), default=0) + 1, bool)
         self.edge[[i for name, i in names.items() if (name.endswith("</w>") if words else name.startswith(("\u0120", "\u010a")))]] = True
-        self.stops = {c: self._library([c])[0] for c in ".,"}
+        self.stops = {c: self._library([c.decode()])[0] for c in _STOPS}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -75,53 +76,47 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, texts: list[str], letters: list[bool]) -> list[bytes]:
-        """The ids of pieces: in one call for those of letters, in another for the rest."""
-        texts = [t if t[:1] == "\n" else " " + t for t in texts]
-        out: list[bytes] = [b""] * len(texts)
-        plain = [k for k, x in enumerate(letters) if x]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, "<u4")
+    def _letters(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of letters, in one call of the library."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join([_led(p) for p in pieces]).decode()], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.edge[ids]) + self.words
-        if len(at) != len(plain):
-            plain, letters = [], [False] * len(texts)
+        if len(at) != len(pieces):  # the edges don't show
+            return self._library([_led(p).decode() for p in pieces])
         cuts, data = (4 * (np.append(0, at) if self.words else np.append(at, len(ids)))).tolist(), ids.tobytes()
-        for k, a, b in zip(plain, cuts[:-1], cuts[1:], strict=bool(plain)):
-            out[k] = data[a:b]
-        rest = [k for k, x in enumerate(letters) if not x]
-        for k, x in zip(rest, self._library([texts[k] for k in rest]), strict=True):
-            out[k] = x
-        return out
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, missing: set[bytes]) -> tuple[set[bytes], list[bytes]]:
         """The younger half gets all of ``missing`` but pieces whose white space could touch a blank: those, and the too long ones."""
-        again = self.old.keys() & missing
+        missing = missing - self._remember(missing)
+        letters = [p for p in missing if p.isalpha()]  # of ASCII
+        rest = [p for p in missing if not p.isalpha()]
+        stopped = [p for p in rest if p.endswith(_STOPS) and (p[:-1].isalpha() or self._plain(p[:-1]))]
+        cores = {p[:-1] for p in stopped} - self.young.keys() - missing
+        cores -= self._remember(cores)
+        letters += cores
+        done = set(stopped)
+        others = []
+        for p in rest:
+            if p not in done:
+                (letters if self._plain(p) else others).append(p)
+        risky = set() if self.words else {p for p in others if _touches(p.decode())}
+        others = [p for p in others if p not in risky]
+        if letters:
+            self.young.update(zip(letters, self._letters(letters), strict=True))
+        self.young.update(zip(others, self._library([_led(p).decode() for p in others]), strict=True))
+        self.young.update([(p, self.young[p[:-1]] + self.stops[p[-1:]]) for p in stopped])
+        return risky, [p for p in (*missing, *cores) if len(p) > self.longest and p not in risky]
+
+    def _remember(self, pieces: set[bytes]) -> set[bytes]:
+        """Those of ``pieces`` that the older half has; the younger half gets them."""
+        again = self.old.keys() & pieces
         self.young.update([(p, self.old[p]) for p in again])
-        pieces = list(missing - again)
-        decoded = b"\0".join(pieces).decode().split("\0")
-        if len(decoded) != len(pieces):
-            decoded = [p.decode() for p in pieces]
-        risky, new, texts, letters, later = set(), [], [], [], []
-        for p, text in zip(pieces, decoded, strict=True):
-            stopped = text[-1:] in self.stops
-            core = text[:-1] if stopped else text
-            word = core[1:] if core[:1] == "\n" else core
-            alpha = word.isalpha() and (not self.words or word.isascii() or word.lower().isalpha())
-            if alpha and stopped:
-                later.append(p)
-                p, text = p[:-1], core
-                if p in self.young or p in missing:
-                    continue
-            elif not alpha and not self.words and _touches(text):
-                risky.add(p)
-                continue
-            new.append(p)
-            texts.append(text)
-            letters.append(alpha)
-        if new:
-            self.young.update(zip(new, self._encoded(texts, letters), strict=True))
-        for p in later:
-            self.young[p] = self.young[p[:-1]] + self.stops[p[-1:].decode()]
-        return risky, [p for p in (*new, *later) if len(p) > self.longest]
+        return again
+
+    def _plain(self, piece: bytes) -> bool:
+        """Whether a piece is of letters that the tokenizer keeps as letters."""
+        word = piece.decode().removeprefix("\n")
+        return word.isalpha() and (not self.words or word.isascii() or word.lower().isalpha())
 
     def encode(self, docs: list[bytes]) -> list[np.ndarray]:
         """The ids of each document (UTF-8).
@@ -176,6 +171,11 @@ class PieceEncoder:
 _NONE = np.zeros(0, "<u4")
 
 
+def _led(piece: bytes) -> bytes:
+    """A piece with what stands before it."""
+    return piece if piece[:1] == b"\n" else b" " + piece
+
+
 def _touches(piece: str) -> bool:
     """Whether white space in a piece follows other white space, or could follow or stand before a blank."""
     inner = piece[1:] if piece[:1] == "\n" else piece
