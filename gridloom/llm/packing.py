@@ -77,22 +77,21 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id:
 
     def tokens(batches):
         base, packer, enc, waiting = common.task_row_base(), BestFit(capacity, open_bins), None, []
-        for batch in batches:
-            for ids, texts in common.text_slices(batch.column(0), batch.column(1), ENCODED_AT_ONCE):
-                enc = enc or encoder()
-                for doc, got in zip(ids, enc.encode(texts), strict=True):
-                    got = np.append(got, np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(got), capacity)):
-                        part = got[at : at + capacity]
-                        bin_, place = packer.put(len(part))
-                        waiting.append((doc, k, at, len(part), crc(part), base + bin_, place, *([part.tobytes()] if with_ids else [])))
-                if len(waiting) > 20_000:
-                    open_now = packer.open()
-                    yield from _batch([r for r in waiting if r[5] - base not in open_now], 0)
-                    waiting = [r for r in waiting if r[5] - base in open_now]
-                    if len(waiting) > 20_000:  # many short ones: they don't wait any longer
-                        yield from _batch(waiting, 1)
-                        waiting = []
+        for ids, texts in common.texts_together(batches, ENCODED_AT_ONCE):
+            enc = enc or encoder()
+            for doc, got in zip(ids, enc.encode(texts), strict=True):
+                got = np.append(got, np.uint32(end_id)).astype("<u4")
+                for k, at in enumerate(range(0, len(got), capacity)):
+                    part = got[at : at + capacity]
+                    bin_, place = packer.put(len(part))
+                    waiting.append((doc, k, at, len(part), crc(part), base + bin_, place, *([part.tobytes()] if with_ids else [])))
+            if len(waiting) > 20_000:
+                open_now = packer.open()
+                yield from _batch([r for r in waiting if r[5] - base not in open_now], 0)
+                waiting = [r for r in waiting if r[5] - base in open_now]
+                if len(waiting) > 20_000:  # many short ones: they don't wait any longer
+                    yield from _batch(waiting, 1)
+                    waiting = []
         left = packer.open()
         yield from _batch([r for r in waiting if r[5] - base not in left], 0)
         yield from _batch([r for r in waiting if r[5] - base in left], 1)

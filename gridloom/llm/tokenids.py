@@ -306,12 +306,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         ctx = TaskContext.get()
         encoder = writer = None
         path = f"{folder}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.planes"
-        for batch in batches:
-            for ids, texts in common.text_slices(batch.column(0), batch.column(1), ENCODED_AT_ONCE):
-                encoder = encoder or PieceEncoder.of_run(run, tokenizer, words=False)
-                writer = writer or PlaneWriter(path, width, block)
-                for doc, got in zip(ids, encoder.encode(texts), strict=True):
-                    writer.add(doc, np.append(got, np.uint32(end_id)))
+        for ids, texts in common.texts_together(batches, ENCODED_AT_ONCE):
+            encoder = encoder or PieceEncoder.of_run(run, tokenizer, words=False)
+            writer = writer or PlaneWriter(path, width, block)
+            for doc, got in zip(ids, encoder.encode(texts), strict=True):
+                writer.add(doc, np.append(got, np.uint32(end_id)))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([ctx.partitionId()], pa.int32()), "path": [path], "docs": pa.array([len(writer.docs)], pa.int64()), "ids": pa.array([sum(writer.lengths)], pa.int64())})
