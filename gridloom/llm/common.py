@@ -125,21 +125,6 @@ def text_slices(ids, texts, most: int = 500_000) -> Iterator[tuple[list, list[by
         start = end
 
 
-def texts_together(batches, most: int) -> Iterator[tuple[list, list[bytes]]]:
-    """The rows (id, text) of all batches as lists, texts in UTF-8, about ``most`` bytes at a time, however small the batches."""
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for some_ids, some in text_slices(batch.column(0), batch.column(1), most):
-            ids += some_ids
-            texts += some
-            size += sum(map(len, some)) + 64 * len(some)  # empty texts count too
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def open_write(uri: str):
     """An output stream on any store that pyarrow knows; ``uri`` has a scheme or is an absolute path."""
     from pyarrow import fs
