@@ -159,8 +159,9 @@ def deviatoric(df: DataFrame, xx: str = "dxx", yy: str = "dyy", zz: str = "dzz")
 
 
 def next_step(old: float, left: float, courant: float, hydro: float, low: float = 1.1, high: float = 1.2, most: float = 1e-2) -> float:
-    """The time step after ``old``: half the courant and two thirds of the hydro limit, growing by ``low`` to ``high`` or not at all, shaped so that no tiny step is left."""
-    step = min(courant / 2, hydro * 2 / 3, 1e20)
+    """The time step after ``old``: half the courant limit, or two thirds of the hydro limit if that, whole, is smaller, growing by ``low`` to ``high`` or not at all, shaped so that no tiny step is left."""
+    limit = courant / 2 if courant < 1e20 else 1e20
+    step = hydro * 2 / 3 if hydro < limit else limit
     if step >= old:
         step = old if step < low * old else min(step, high * old)
     step = min(step, most)

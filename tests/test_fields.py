@@ -71,6 +71,8 @@ def test_step_control():
     assert fields.next_step(1e-3, 1, 1, 1) == pytest.approx(1.2e-3)
     assert fields.next_step(1e-3, 1.3e-3, 2e-3, 1) == pytest.approx(2e-3 / 3)
     assert fields.next_step(1e-3, 5e-4, 2e-3, 1) == 5e-4
+    assert fields.next_step(1e-3, 1, 2.1e-3, 1.2e-3) == 1e-3  # the whole hydro limit is above half the courant limit
+    assert fields.next_step(1e-3, 1, 2.1e-3, 9e-4) == pytest.approx(6e-4)
 
 
 def test_gravity_and_diagnostics(spark):
